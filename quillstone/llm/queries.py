@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, simhash
 from .common import table
 
 
@@ -10,5 +10,9 @@ def op7_winnowing_decontamination(spark, sf_dir):
     return decontam.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op7_winnowing_decontamination,)}
+def op10_simhash_near_dedup(spark, sf_dir):
+    return simhash.result(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op7_winnowing_decontamination, op10_simhash_near_dedup)}
 ORACLES = {"op7_winnowing_decontamination": decontam.ORACLE_SQL}
