@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from . import decontam, simhash
+from . import decontam, line_dedup, simhash, url_filter
 from .common import table
 
 
+def op4_bloom_url_filter(spark, sf_dir):
+    return url_filter.result(table(spark, sf_dir, "pages"))
+
+
 def op7_winnowing_decontamination(spark, sf_dir):
     return decontam.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_template_line_dedup(spark, sf_dir):
+    return line_dedup.result(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_winnowing_decontamination, op10_simhash_near_dedup)}
-ORACLES = {"op7_winnowing_decontamination": decontam.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op4_bloom_url_filter, op7_winnowing_decontamination, op9_template_line_dedup, op10_simhash_near_dedup)}
+ORACLES = {
+    "op4_bloom_url_filter": url_filter.ORACLE_SQL,
+    "op7_winnowing_decontamination": decontam.ORACLE_SQL,
+    "op9_template_line_dedup": line_dedup.ORACLE_SQL,
+}
