@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, simhash, url_filter
+from . import bpe, decontam, line_dedup, simhash, url_filter
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op7_winnowing_decontamination(spark, sf_dir):
     return decontam.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.result(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_template_line_dedup(spark, sf_dir):
     return line_dedup.result(table(spark, sf_dir, "documents"))
 
@@ -22,7 +28,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bloom_url_filter, op7_winnowing_decontamination, op9_template_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_bloom_url_filter, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op4_bloom_url_filter": url_filter.ORACLE_SQL,
     "op7_winnowing_decontamination": decontam.ORACLE_SQL,
