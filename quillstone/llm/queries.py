@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, line_dedup, simhash, url_filter
+from . import bpe, decontam, html_cut, langid, line_dedup, simhash, url_filter
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op2_language_id(spark, sf_dir):
     return langid.result(table(spark, sf_dir, "documents"))
 
 
+def op3_min_cut_html(spark, sf_dir):
+    return html_cut.result(table(spark, sf_dir, "pages"))
+
+
 def op4_bloom_url_filter(spark, sf_dir):
     return url_filter.result(table(spark, sf_dir, "pages"))
 
@@ -32,7 +36,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_bloom_url_filter, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_min_cut_html, op4_bloom_url_filter, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op4_bloom_url_filter": url_filter.ORACLE_SQL,
     "op7_winnowing_decontamination": decontam.ORACLE_SQL,
