@@ -3,7 +3,8 @@
 The lines of a text are labelled content or boilerplate by Viterbi decoding of a linear-chain conditional random
 field over simple line features; a document is kept if it passes the base rules and content lines hold at least
 ``least_share`` of its words.  The field is trained by stochastic gradient ascent on the likelihood (forward-backward),
-on labelled documents: all lines of a document of quality 1 count as content, of quality 0 as boilerplate.
+on labelled documents: the lines of a document of quality 1 count as content but for those that mostly repeat within
+it, the lines of a document of quality 0 as boilerplate.
 
 The training sample is bounded: ``per_class`` labelled documents a class, chosen by a hash of the id (documented
 bound); every row is judged, over its whole text.  Without labels of both classes the fixed ``PRIOR`` weights hold.
@@ -101,12 +102,17 @@ class Field:
 PRIOR = Field((1.5, 1.0, -0.5, -4.0, -3.0, -1.0, -3.0, 0.5, 0.0, 0.3, -2.0), ((0.5, -0.5), (-0.5, 0.5)))
 
 
-def train(samples: list[tuple[list[tuple[float, ...]], bool]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-3, seed: int = 5) -> Field:
+def line_labels(features: list[tuple[float, ...]], good: bool) -> list[int]:
+    """Weak labels of the lines of a labelled document."""
+    return [int(good and f[-1] <= 0.5) for f in features]
+
+
+def train(samples: list[tuple[list[tuple[float, ...]], bool]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-3, move_decay: float = 0.3, seed: int = 5) -> Field:
     """samples: the line features of a document and whether its lines are content."""
     if len({y for _, y in samples}) < 2:
         return PRIOR
     rng, w, m = np.random.default_rng(seed), np.zeros(len(FEATURES)), np.zeros((2, 2))
-    rows = [(np.array(f), int(y)) for f, y in samples if f]
+    rows = [(np.array(f), np.array(line_labels(f, y))) for f, y in samples if f]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(rows)):
@@ -123,13 +129,13 @@ def train(samples: list[tuple[list[tuple[float, ...]], bool]], epochs: int = 8,
             at = np.exp(ahead + behind - z)
             dw = ((y - at[:, 1])[:, None] * x).sum(axis=0)
             dm = np.zeros((2, 2))
-            dm[y, y] = n - 1
+            np.add.at(dm, (y[:-1], y[1:]), 1)
             if n > 1:
                 pair = ahead[:-1, :, None] + m[None] + (emit + behind)[1:, None, :] - z
                 dm -= np.exp(pair).sum(axis=0)
             scale = step / n
             w += scale * dw - step * decay * w
-            m += scale * dm - step * decay * m
+            m += scale * dm - step * move_decay * m
     return Field(tuple(map(float, w)), tuple(tuple(map(float, r)) for r in m))
 
 
