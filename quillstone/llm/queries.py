@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html_cut, langid, line_dedup, quality_crf, simhash, url_filter
+from . import bpe, decontam, html_cut, langid, license_scan, line_dedup, quality_crf, simhash, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_bloom_url_filter(spark, sf_dir):
     return url_filter.result(table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark, sf_dir):
+    return license_scan.result(table(spark, sf_dir, "documents"))
+
+
 def op6_crf_quality(spark, sf_dir):
     return quality_crf.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_min_cut_html, op4_bloom_url_filter, op6_crf_quality, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_min_cut_html, op4_bloom_url_filter, op5_license_scan, op6_crf_quality, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op4_bloom_url_filter": url_filter.ORACLE_SQL,
     "op7_winnowing_decontamination": decontam.ORACLE_SQL,
