@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z to a-z and nothing else: locale and Unicode case rules stay out of it."""
-    return F.translate(c, UPPER, UPPER.lower())
+    """A-Z to a-z and nothing else: Unicode case rules stay out of it.
+
+    For ASCII texts ``lower`` does the same and is many times faster than ``translate``.
+    """
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
 def shared_dir(spark: SparkSession) -> str:

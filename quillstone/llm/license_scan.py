@@ -96,11 +96,10 @@ def matches(docs: DataFrame, templates: DataFrame, threshold: float = 0.8, bands
     ).first()  # one row, bounded by most_shingles
     if facts["n"] > most_shingles:
         raise ValueError(f"{facts['n']} template shingles; most_shingles is {most_shingles}")
-    low = lower_ascii(F.col("text"))
     some = F.lit(False)
     for a in sorted(facts["anchors"], key=lambda a: (-len(a), a)):
         some = some | F.contains(F.col("low"), F.lit(a))
-    near = docs.select("row_id", "doc_id", "text", low.alias("low")).where(some).select("row_id", "doc_id", fixed(words_of(F.col("text"))).alias("words"))
+    near = docs.select("row_id", "doc_id", "text", fixed(F.lower("text")).alias("low")).where(some).select("row_id", "doc_id", fixed(words_of(F.col("text"))).alias("words"))
     if not facts["kinds"]:
         return near.select("row_id", "doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment")).where(F.lit(False))
     known = t.agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("a")).scalar()
