@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html_cut, langid, license_scan, line_dedup, quality_crf, simhash, url_filter
+from . import bpe, decontam, html_cut, langid, license_scan, line_dedup, lm_trie, quality_crf, simhash, url_filter
 from .common import table
 
 
+def op1_elias_fano_lm(spark, sf_dir):
+    return lm_trie.result(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     return langid.result(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.result(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_min_cut_html, op4_bloom_url_filter, op5_license_scan, op6_crf_quality, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_elias_fano_lm, op2_language_id, op3_min_cut_html, op4_bloom_url_filter, op5_license_scan, op6_crf_quality, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op4_bloom_url_filter": url_filter.ORACLE_SQL,
     "op7_winnowing_decontamination": decontam.ORACLE_SQL,
