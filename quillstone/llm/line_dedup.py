@@ -66,10 +66,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, evidence: int = 100, **tre
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of docs, text without the dropped lines, plus ``dropped_lines`` (null if none)."""
-    gone = dropped_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("__id"), "tid", F.col("dropped").alias("dropped_lines"))
+    gone = dropped_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("__id"), F.col("tid").alias("__gone"), F.col("dropped").alias("dropped_lines"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped_lines", i)), "\n")
     names = [c for c in docs.columns if c != "dropped_lines"]
-    joined = docs.select(*names, F.xxhash64("text").alias("__tid")).join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__tid") == F.col("tid")), "left")
+    joined = docs.select(*names, F.xxhash64("text").alias("__tid")).join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__tid") == F.col("__gone")), "left")
     text = F.when(F.col("dropped_lines").isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], "dropped_lines", F.size(F.split("text", "\n")).alias("n_lines"))
 
@@ -85,9 +85,10 @@ def result(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH l AS (
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
   SELECT r, doc_id, unnest(lines) AS value, unnest(range(len(lines))) AS line
-  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+  FROM (SELECT r, doc_id, string_split(text, chr(10)) AS lines FROM d WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
 t AS (
   SELECT r, doc_id, line, w, len(w) AS n
   FROM (SELECT *, regexp_extract_all(regexp_replace(value, '[^\s\d]*\d\S*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM l) WHERE len(w) >= 5),
@@ -110,5 +111,5 @@ k AS (
   FROM l LEFT JOIN g USING (r, line) GROUP BY r)
 SELECT doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
        CASE WHEN n_dropped > 0 THEN coalesce(k.text, '') ELSE d.text END AS text
-FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d LEFT JOIN k USING (r)
+FROM d LEFT JOIN k USING (r)
 """
