@@ -25,7 +25,7 @@ def summary(results: DataFrame) -> DataFrame:
 
 def relation_rows(relations: DataFrame, pseudo: Pseudonyms) -> DataFrame:
     """Undirected relations with keyed ids in place of the documents' names."""
-    ids = F.array_sort(F.array(pseudo.token("report-file", F.col("left"), 32), pseudo.token("report-file", F.col("right"), 32)))
+    ids = F.sort_array(F.array(pseudo.token("report-file", F.col("left"), 32), pseudo.token("report-file", F.col("right"), 32)))
     return relations.where("right is not null").select(ids.alias("ids"), "relation", F.round("confidence", 4).alias("confidence"), "conflicts").dropDuplicates(["ids", "relation"])
 
 
