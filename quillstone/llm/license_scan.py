@@ -141,3 +141,19 @@ def result(docs: DataFrame) -> DataFrame:
 
 def retrieval_probability(share: float, bands: int) -> float:
     return -math.expm1(bands * math.log1p(-share)) if share < 1 else 1.0
+
+
+_VALUES = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in TEMPLATES)
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT id, {_WORDS} AS w FROM (VALUES {_VALUES}) AS v(id, text)),
+ts AS (SELECT DISTINCT id, k, list_slice(w, p, p + k - 1) AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT id, w, least(len(w), 5) AS k FROM t))),
+tn AS (SELECT id, count(*) AS n, greatest(4, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT)) AS c FROM ts GROUP BY id),
+ds AS (SELECT r, k, p - 1 AS p, list_slice(w, p, p + k - 1) AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM ts) WHERE len(w) >= k)),
+h AS (SELECT r, ts.id, n, p // c AS win, ds.s FROM ds JOIN ts ON ds.k = ts.k AND ds.s = ts.s JOIN tn ON tn.id = ts.id),
+g AS (SELECT r, id, count(DISTINCT s) / any_value(n) AS share FROM (SELECT * FROM h UNION ALL SELECT r, id, n, win - 1, s FROM h WHERE win > 0) GROUP BY r, id, win),
+b AS (SELECT r, id, max(share) AS share FROM g GROUP BY r, id HAVING max(share) >= 0.8),
+f AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids, min(share) AS share FROM b GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(ids, '') AS licenses, share AS containment FROM d LEFT JOIN f USING (r)
+"""

@@ -51,6 +51,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_elias_fano_lm, op2_language_id, op3_min_cut_html, op4_bloom_url_filter, op5_license_scan, op6_crf_quality, op7_winnowing_decontamination, op8_byte_bpe, op9_template_line_dedup, op10_simhash_near_dedup)}
 ORACLES = {
     "op4_bloom_url_filter": url_filter.ORACLE_SQL,
+    "op5_license_scan": license_scan.ORACLE_SQL,
     "op7_winnowing_decontamination": decontam.ORACLE_SQL,
     "op9_template_line_dedup": line_dedup.ORACLE_SQL,
 }

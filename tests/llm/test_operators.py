@@ -215,7 +215,7 @@ def brute_licenses(t):
     return ",".join(sorted(out))
 
 
-def test_license_scan(spark, docs):
+def test_license_scan(spark, docs, tmp_path):
     rng = random.Random(9)
     made = []
     for i in range(120):
@@ -226,6 +226,13 @@ def test_license_scan(spark, docs):
     df = spark.createDataFrame([*made, *ROWS, (500, PASSAGE * 40 + " All rights reserved. " + PASSAGE * 40)], "doc_id long, text string")
     want = Counter((i, brute_licenses(t)) for i, t in [(r.doc_id, r.text) for r in df.collect()])
     assert rows(license_scan.result(df), "doc_id", "licenses") == want
+    duckdb = pytest.importorskip("duckdb")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    flat = lambda r: (*r[:3], r[3] and round(r[3], 9))
+    mine = [tuple(r) for r in license_scan.result(df).select("doc_id", "n_licenses", "licenses", "containment").collect()]
+    assert Counter(map(flat, mine)) == Counter(map(flat, con.execute(license_scan.ORACLE_SQL).fetchall()))
     assert license_scan.result(df.limit(0)).collect() == []
     empty = spark.createDataFrame([(None, None), ("e", "...")], "license_id string, text string")
     assert license_scan.scanned(df, empty).where("size(licenses) > 0").count() == 0
