@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     fps = written(fingerprints(docs.select("doc_id", "text")), "simhash")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     held = fps.groupBy("fp").agg(F.min(rank).alias("first"))
-    roots = components(links(fps.select("fp").distinct(), radius))
+    roots = components(written(links(fps.select("fp").distinct(), radius), "links"))
     rooted = held.join(roots, held["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("rep"))
     named = rooted.join(firsts, "root").select("fp", "rep")
