@@ -10,7 +10,7 @@ import json
 
 import numpy as np
 
-BLOCK = 8  # words of upper bits that share a rank entry
+BLOCK = 4  # words of upper bits that share a rank entry
 SLICE = 1 << 16
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SEL8 = np.array([[[b for b in range(8) if i >> b & 1][k] if k < bin(i).count("1") else 0 for k in range(8)] for i in range(256)], np.uint8)
@@ -91,8 +91,15 @@ class EliasFano:
         most = int(self.at(np.array([self.n - 1]))[0] >> np.uint64(self.low_bits))
         inside = h <= most
         h = np.minimum(h, most)
-        lo = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) - np.maximum(h - 1, 0), 0)
-        hi = _select(self.high, self.zeros, h, True) - h
+        bit = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) + 1, 0)  # where the run of ones begins
+        lo = bit - h
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        seen = self.high[word] >> off | np.where(off > 0, after << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+        run = np.bitwise_count(seen & ~(seen + np.uint64(1))).astype(np.int64)
+        hi = lo + run
+        long = np.flatnonzero(run >= 64 - off.astype(np.int64))
+        hi[long] = _select(self.high, self.zeros, h[long], True) - h[long]
         lo = np.maximum(lo, begin)
         hi = np.minimum(hi, self.n if end is None else end)
         want = x & np.uint64((1 << self.low_bits) - 1)

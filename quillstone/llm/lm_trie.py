@@ -44,7 +44,7 @@ from .elias_fano import EliasFano, mapped, packed
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b" "  # no word: words have no white space
-PIECE = 3 << 20  # bytes of text that are handled at a time; a longer text alone
+PIECE = 5 << 20  # bytes of text that are handled at a time; a longer text alone
 FLUSH = 3_000_000  # distinct n-grams a task holds before it sends them
 DISCOUNT = 0.5
 REL_BITS = 28
@@ -100,15 +100,23 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split() + [END]
 
 
+class Numbering(dict):
+    """A number for each new key, in order."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Tokens:
     """The tokens of some documents: ``words`` are the distinct ones, ``ids`` index them, ``starts`` bound documents."""
 
     def __init__(self, texts: list[str | None]):
-        names: dict[bytes, int] = {}
+        names = Numbering()
         ids, starts = [], [0]
         for t in texts:
             w = tokens_of(t)
-            ids.append(np.fromiter((names.setdefault(x, len(names)) for x in w), np.int64, len(w)))
+            ids.append(np.fromiter(map(names.__getitem__, w), np.int64, len(w)))
             starts.append(starts[-1] + len(w))
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.starts = np.array(starts)
@@ -231,6 +239,7 @@ class Meta:
     offsets: list[int]  # of word ids by shard, and their number last
     tokens: int
     bigrams: list[int]  # of bigram positions by shard, and their number last
+    least: int = 2  # occurrences of a stored bigram or trigram, and so of each word in it at least
 
 
 class Trie:
@@ -274,11 +283,13 @@ class Trie:
         return out
 
     def _range(self, level: dict, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last position of the successors of each node, and the monotone value before them; once a node."""
+        node, back = np.unique(node, return_inverse=True)
         begin, end = (level["pointer"].at(node + i).astype(np.int64) for i in (0, 1))
         base = np.zeros(len(node), np.uint64)
-        some = np.flatnonzero(begin > 0)
+        some = np.flatnonzero((begin > 0) & (end > begin))
         base[some] = level["next"].at(begin[some] - 1)
-        return begin, end, base
+        return begin[back], end[back], base[back]
 
     def bigrams(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions (-1: not stored) of known bigrams, and their ranks among the successors of u."""
@@ -286,9 +297,10 @@ class Trie:
         for s, at in self._split(np.searchsorted(self.offsets, u, "right") - 1):
             level = self.level("bigrams", s)
             begin, end, base = self._range(level, u[at] - self.offsets[s])
-            k = level["next"].find(v[at].astype(np.uint64) + base, begin, end)
-            pos[at] = np.where(k >= 0, k + self.positions[s], -1)
-            rel[at] = k - begin
+            some = np.flatnonzero(end > begin)
+            k = level["next"].find(v[at[some]].astype(np.uint64) + base[some], begin[some], end[some])
+            pos[at[some]] = np.where(k >= 0, k + self.positions[s], -1)
+            rel[at[some]] = k - begin[some]
         return pos, rel
 
     def back_of_word(self, u: np.ndarray) -> np.ndarray:
@@ -320,6 +332,8 @@ class Trie:
             back[at] = restored(level["back"][node], BACK_FLOOR)
             asked = np.flatnonzero(rel[at] >= 0)
             begin, end, base = self._range(level, node[asked])
+            some = end > begin
+            asked, begin, end, base = asked[some], begin[some], end[some], base[some]
             k = level["next"].find(rel[at][asked].astype(np.uint64) + base, begin, end)
             hit = k >= 0
             p[at[asked[hit]]] = restored(level["p"][k[hit]], P_FLOOR)
@@ -341,7 +355,8 @@ class Trie:
         base = np.log10((word_counts + 1) / (n + v + 1))[t.ids]
         first = np.zeros(len(ids), bool)
         first[t.starts[:-1]] = True
-        two = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]) + 1 if len(ids) else np.zeros(0, np.int64)
+        often = (word_counts >= self.meta.least)[t.ids]
+        two = np.flatnonzero(often[1:] & often[:-1] & ~first[1:]) + 1 if len(ids) else np.zeros(0, np.int64)
         pos, rel = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
         keys, back_to = np.unique(ids[two - 1].astype(np.uint64) << np.uint64(32) | ids[two].astype(np.uint64), return_inverse=True)
         p, r = self.bigrams((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
@@ -349,7 +364,7 @@ class Trie:
         p2[p >= 0] = self.p_of_bigram(p[p >= 0])
         pos[two], rel[two] = p[back_to], np.where(p >= 0, r, -1)[back_to]
         log = uni.copy()
-        known_before = np.flatnonzero((~first) & np.concatenate([[False], ids[:-1] >= 0]))
+        known_before = np.flatnonzero((~first) & np.concatenate([[False], often[:-1]]))  # rarer words have no successors
         u, at = np.unique(ids[known_before - 1], return_inverse=True)
         log[known_before] += self.back_of_word(u)[at]
         hit = pos >= 0
@@ -448,6 +463,15 @@ def _sizes(rows, shards: int) -> list[int]:
     return np.concatenate([[0], np.cumsum([n[s] for s in range(shards)])]).astype(int).tolist()
 
 
+def followed(t: Tokens, meta: Meta) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens, and the tokens whose bigram with the next can occur ``least`` times: both words do."""
+    ids, counts = trie(meta).words(t.hashes)
+    often = (counts >= meta.least)[t.ids]
+    last = np.zeros(len(often), bool)
+    last[t.starts[1:] - 1] = True
+    return ids[t.ids].astype(np.uint64), np.flatnonzero(often[:-1] & often[1:] & ~last[:-1])
+
+
 def trained(docs: DataFrame, least: int = 2) -> Meta:
     """The model of the texts of docs, in the shared folder."""
     spark = docs.sparkSession
@@ -455,34 +479,28 @@ def trained(docs: DataFrame, least: int = 2) -> Meta:
     folder = shared_path(spark, "trie")
     words = counted(docs, shards, lambda t: t.hashes[t.ids], lambda k: shard_of_hash(k, shards))
     rows = words.groupBy("bucket").applyInArrow(_words_level(folder, shards), "shard int, n long, total long").collect()  # a row a shard
-    meta = Meta(folder, shards, _sizes(rows, shards), sum(r["total"] for r in rows), [0])
+    meta = Meta(folder, shards, _sizes(rows, shards), sum(r["total"] for r in rows), [0], least)
     if meta.offsets[-1] >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
 
     def bigram_keys(t: Tokens) -> np.ndarray:
-        ids = trie(meta).words(t.hashes)[0][t.ids].astype(np.uint64)
-        last = np.zeros(len(ids), bool)
-        last[t.starts[1:] - 1] = True
-        i = np.flatnonzero(~last)
+        ids, i = followed(t, meta)
         return ids[i] << np.uint64(32) | ids[i + 1]
 
     offsets = np.array(meta.offsets)
     pairs = counted(docs, shards, bigram_keys, lambda k: by_hash(k, shards))
     pairs = frequent(pairs, least, lambda k: (np.searchsorted(offsets, (k >> np.uint64(32)).astype(np.int64), "right") - 1).astype(np.int32))
     rows = _every_shard(spark, pairs, shards).groupBy("bucket").applyInArrow(_bigrams_level(folder, meta), "shard int, n long").collect()
-    meta = Meta(folder, shards, meta.offsets, meta.tokens, _sizes(rows, shards))
+    meta = Meta(folder, shards, meta.offsets, meta.tokens, _sizes(rows, shards), least)
 
     def trigram_keys(t: Tokens) -> np.ndarray:
         model = trie(meta)
-        ids = model.words(t.hashes)[0][t.ids]
-        last = np.zeros(len(ids), bool)
-        last[t.starts[1:] - 1] = True
-        i = np.flatnonzero(~last)
-        keys, at = np.unique(ids[i].astype(np.uint64) << np.uint64(32) | ids[i + 1].astype(np.uint64), return_inverse=True)
+        ids, i = followed(t, meta)
+        keys, at = np.unique(ids[i] << np.uint64(32) | ids[i + 1], return_inverse=True)
         p, r = model.bigrams((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
         pos, rel = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
         pos[i], rel[i] = p[at], r[at]
-        j = np.flatnonzero((pos[:-1] >= 0) & (pos[1:] >= 0) & ~last[:-1]) if len(pos) else np.zeros(0, np.int64)
+        j = np.flatnonzero((pos[:-1] >= 0) & (pos[1:] >= 0)) if len(pos) else np.zeros(0, np.int64)
         return pos[j].astype(np.uint64) << np.uint64(REL_BITS) | rel[j + 1].astype(np.uint64)
 
     positions = np.array(meta.bigrams)
