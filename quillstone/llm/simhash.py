@@ -174,9 +174,14 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 512, chunk: int = 4096) -
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, tid, fp, component_id (smallest doc_id of the component), keep (one row of each)."""
     fps = written(fingerprints(docs.select("doc_id", "text")), "simhash")
+    return resolved(fps, links(fps.select("fp").distinct(), radius))
+
+
+def resolved(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fps(doc_id, tid, fp) with component_id and keep, by the components of edges (u, v) between fps."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     held = fps.groupBy("fp").agg(F.min(rank).alias("first"))
-    roots = components(written(links(fps.select("fp").distinct(), radius), "links"))
+    roots = components(written(edges, "links"))
     rooted = held.join(roots, held["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("rep"))
     named = rooted.join(firsts, "root").select("fp", "rep")
@@ -187,7 +192,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def deduplicated(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The rows of docs, all columns, of which one row of each component stays: the first by doc_id, then text hash."""
-    keep = near_duplicates(docs, radius).where("keep").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).distinct()
+    return first_rows(docs, near_duplicates(docs, radius))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that ``found`` keeps, one each."""
+    keep = found.where("keep").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid")).distinct()
     marked = docs.withColumn("__own", F.xxhash64("text"))
     kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked["__own"] == keep["__tid"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
