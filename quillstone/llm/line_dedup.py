@@ -3,15 +3,15 @@
 A line is cut into tokens at ASCII white space; a token with a digit is a variable field and becomes ``<*>``.  The
 tree has fixed depth: token count, then the first ``depth`` tokens.  Below that, the rest of the line is cut into four
 segments, and a line belongs to its full template and, from ``generalise`` tokens on, to four templates in which one
-segment is a variable field.  Whether a template recurs depends on the number of different documents that hold
-it and on its constant tokens, as short lines recur by chance: ``docs >= min_docs`` and
-``(docs - 1) * constant tokens >= evidence``.  Lines of a recurring template are dropped from all documents but
-the one of the smallest doc_id that holds it, so that no passage is lost.
+segment is a variable field.  A full template recurs by the number of different documents that hold it alone: in
+``min_docs`` of them, or in two if it has ``long`` tokens or more.  A template with an open segment also needs evidence
+that its lines are alike by more than chance: ``(docs - 1) * constant tokens >= evidence``.  Lines of a recurring
+template are dropped from all documents but the one of the smallest doc_id that holds it, so that no passage is lost.
 
 Nothing gathers the lines of a template: they are counted with map-side sums and dropped by a join.
 
-Cases: null text stays null and has no lines; lines of fewer than ``min_tokens`` tokens are always kept; rows with a
-null doc_id are returned as they are and support nothing; rows of one doc_id are one document; a document all of whose
+Cases: null text stays null and has no lines; blank lines are always kept; a line of fewer than ``short`` tokens that
+are all variable fields is taken as it is written, as nothing else would tell such lines apart; rows with a null doc_id are returned as they are and support nothing; rows of one doc_id are one document; a document all of whose
 lines go keeps an empty text.
 """
 
@@ -26,46 +26,55 @@ SEGMENTS = 4
 
 
 def _signatures(depth: int, generalise: int) -> Column:
-    """Array of (sig, constant): the templates of a line with columns ``tokens`` and ``n``."""
+    """Array of (sig, constant, open): the templates of a line with columns ``tokens`` and ``n``."""
     lead = F.xxhash64(F.slice("tokens", 1, depth))
     rest = F.greatest(F.col("n") - depth, F.lit(0))
     at = [depth + F.floor(rest * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
     sizes = [b - a for a, b in zip(at, at[1:])]
     parts = [F.xxhash64(F.slice("tokens", a + 1, F.greatest(size, F.lit(0)))) for a, size in zip(at, sizes)]
-    full = F.struct(F.xxhash64("n", lead, *parts).alias("sig"), F.col("n").alias("constant"))
+    full = F.struct(F.xxhash64("n", lead, *parts).alias("sig"), F.col("n").alias("constant"), F.lit(False).alias("open"))
     open_ = [
-        F.struct(F.xxhash64("n", F.lit(f"open{i}"), lead, *[p for j, p in enumerate(parts) if j != i]).alias("sig"), (F.col("n") - sizes[i]).alias("constant"))
+        F.struct(F.xxhash64("n", F.lit(f"open{i}"), lead, *[p for j, p in enumerate(parts) if j != i]).alias("sig"), (F.col("n") - sizes[i]).alias("constant"), F.lit(True).alias("open"))
         for i in range(SEGMENTS)
     ]
     return F.when(F.col("n") >= generalise, F.array(full, *open_)).otherwise(F.array(full))
 
 
-def line_templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, generalise: int = 12) -> DataFrame:
-    """doc_id, tid, line (from 0), sigs: one row per line of ``min_tokens`` tokens or more."""
+def line_templates(docs: DataFrame, depth: int = 3, short: int = 5, generalise: int = 12) -> DataFrame:
+    """doc_id, tid, line (from 0), sigs: one row per line that isn't blank."""
     lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
     masked = F.regexp_replace("value", r"[^\s\d]*\d\S*", "<*>")
-    tokens = lines.select("doc_id", "tid", "line", F.array_remove(F.split(masked, SPACE_RUN), "").alias("tokens"))
-    sized = tokens.select("doc_id", "tid", "line", "tokens", F.size("tokens").alias("n")).where(F.col("n") >= min_tokens)
+    words = lambda c: F.array_remove(F.split(c, SPACE_RUN), "")
+    tokens = lines.select("doc_id", "tid", "line", "value", words(masked).alias("tokens"))
+    sized = tokens.select("doc_id", "tid", "line", "value", "tokens", F.size("tokens").alias("n")).where(F.col("n") > 0)
+    bare = (F.col("n") < short) & (F.size(F.array_remove("tokens", "<*>")) == 0)
+    sized = sized.select("doc_id", "tid", "line", "n", F.when(bare, words(F.col("value"))).otherwise(F.col("tokens")).alias("tokens"))
     return sized.select("doc_id", "tid", "line", _signatures(depth, generalise).alias("sigs"))
 
 
-def recurring(sigs: DataFrame, min_docs: int = 3, evidence: int = 100) -> DataFrame:
-    """sigs(sig, constant, doc_id): the recurring templates with the document that keeps them, (sig, keeper)."""
-    once = sigs.select("sig", "constant", "doc_id").distinct()
-    held = once.groupBy("sig").agg(F.count("*").alias("docs"), F.min("constant").alias("constant"), F.min("doc_id").alias("keeper"))
-    return held.where((F.col("docs") >= min_docs) & ((F.col("docs") - 1) * F.col("constant") >= evidence)).select("sig", "keeper")
+def recurring(sigs: DataFrame, holder: str = "doc_id", min_docs: int = 3, long: int = 12, evidence: int = 100) -> DataFrame:
+    """sigs(sig, constant, open, doc_id, tid): the recurring templates with the holder that keeps them, (sig, keeper)."""
+    once = sigs.groupBy("sig", "constant", "open", F.col(holder).alias("holder")).agg(F.min("doc_id").alias("doc_id"))
+    held = once.groupBy("sig").agg(F.count("*").alias("docs"), F.min("constant").alias("constant"), F.max("open").alias("open"), F.min(F.struct("doc_id", "holder")).alias("first"))
+    full = ~F.col("open") & ((F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("constant") >= long)))
+    wide = F.col("open") & (F.col("docs") >= min_docs) & ((F.col("docs") - 1) * F.col("constant") >= evidence)
+    return held.where(full | wide).select("sig", F.col("first.holder").alias("keeper"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 3, evidence: int = 100, **tree) -> DataFrame:
+def dropped_lines(docs: DataFrame, copies_alike: bool = False, min_docs: int = 3, long: int = 12, evidence: int = 100, **tree) -> DataFrame:
     """doc_id, tid, dropped (sorted array of line numbers) for the documents that lose lines."""
+    holder = "tid" if copies_alike else "doc_id"
     lines = written(line_templates(docs, **tree), "lines")
-    each = lines.select("doc_id", "tid", "line", F.explode("sigs").alias("s")).select("doc_id", "tid", "line", "s.sig", "s.constant")
-    found = each.join(recurring(each, min_docs, evidence), "sig").where(F.col("doc_id") != F.col("keeper"))
+    each = lines.select("doc_id", "tid", "line", F.explode("sigs").alias("s")).select("doc_id", "tid", "line", "s.sig", "s.constant", "s.open")
+    found = each.join(recurring(each, holder, min_docs, long, evidence), "sig").where(F.col(holder) != F.col("keeper"))
     return found.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows and columns of docs, text without the dropped lines, plus ``dropped_lines`` (null if none)."""
+    """The rows and columns of docs, text without the dropped lines, plus ``dropped_lines`` (null if none).
+
+    With ``copies_alike`` documents of equal text count as one and lose the same lines, so that they stay equal.
+    """
     gone = dropped_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("__id"), F.col("tid").alias("__gone"), F.col("dropped").alias("dropped_lines"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped_lines", i)), "\n")
     names = [c for c in docs.columns if c != "dropped_lines"]
