@@ -112,7 +112,7 @@ def normalization_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = relation_fixture(spark, sf_dir)
-    out = relations.infer_relations(ledger, docs, within=["entity"])
+    out = relations.infer_relations(ledger, docs, expand_collisions=True)
     return out.select("left", "right", "relation", F.round("confidence", 6).alias("confidence"), "shared_accounts", F.array_join("conflicts", ",").alias("conflicts"))
 
 
@@ -162,7 +162,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM grp LEFT JOIN rel ON relation <> 'ambiguous' AND rel."left" = grp.doc_id GROUP BY group_id""")
 def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = relation_fixture(spark, sf_dir)
-    rel = relations.infer_relations(ledger, docs, within=["entity"])
+    rel = relations.infer_relations(ledger, docs, expand_collisions=True)
     edges = rel.where(F.col("relation").isin(*groups.LINKS)).select("left", "right")
     members = groups.connected_components(docs.select("doc_id"), edges)
     return groups.group_summary(members, rel).select("group_id", "n_documents", "relation", F.round("confidence", 6).alias("confidence"))
@@ -528,7 +528,7 @@ def retry_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_GROUPS} SELECT group_id, count(*) AS n_files, min(grp.doc_id) AS first_file FROM grp WHERE group_id IN (SELECT g.group_id FROM grp g JOIN rel ON relation <> 'ambiguous' AND rel."left" = g.doc_id) GROUP BY group_id""")
 def manifest_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = relation_fixture(spark, sf_dir)
-    rel = relations.infer_relations(ledger, docs, within=["entity"])
+    rel = relations.infer_relations(ledger, docs, expand_collisions=True)
     members = groups.connected_components(docs.select("doc_id"), rel.where(F.col("relation").isin(*groups.LINKS)).select("left", "right"))
     kind = groups.group_summary(members, rel).select("group_id", "relation")
     rows = members.join(kind, "group_id").join(docs.select("doc_id", (F.col("year") * 12 + F.col("month")).alias("period")), "doc_id")
