@@ -9,7 +9,7 @@ pairs are verified by exact containment: the share of the template's shingles fo
 more.
 
 Two lossless cuts keep most of a corpus out of the MinHash.  A match misses at most ``1 - threshold`` of a template's n
-shingles, so it holds one of any ``floor((1 - threshold) n) + 1`` of them: those with the longest longest words give a
+distinct shingles, so it holds one of any ``floor((1 - threshold) n) + 1`` of them: those with the longest longest words give a
 template's anchor words, and a text without any anchor matches nothing.  A window without any template shingle has
 similarity 0 to all of them.
 
@@ -93,7 +93,7 @@ def prepared(templates: DataFrame, threshold: float, least_class: int, bands: in
     t = t.withColumn("width", F.least(F.size("words"), F.lit(SHINGLE)))
     spans = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("width") + 1), lambda i: F.slice("words", i, F.col("width")))
     longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    t = t.select("license_id", "width", spans.alias("spans"))
+    t = t.select("license_id", "width", F.array_distinct(spans).alias("spans"))
     ranked = F.sort_array(F.transform("spans", longest), asc=False)
     anchors = F.transform(F.slice(ranked, 1, F.floor(F.size("spans") * (1 - threshold) + 1e-9).cast("int") + 1), lambda x: x["w"])
     t = t.select("license_id", "width", anchors.alias("anchors"), F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s))).alias("shingles"))
@@ -114,7 +114,7 @@ def matches(docs: DataFrame, templates: DataFrame, threshold: float = 0.8, bands
     some = F.lit(False)
     for a in sorted(facts["anchors"], key=lambda a: (-len(a), a)):
         some = some | F.contains(F.col("low"), F.lit(a))
-    near = docs.select("row_id", "doc_id", "text", fixed(F.lower("text")).alias("low")).where(some).select("row_id", "doc_id", fixed(words_of(F.col("text"))).alias("words"))
+    near = docs.select("row_id", "doc_id", "text", fixed(lower_ascii(F.col("text"))).alias("low")).where(some).select("row_id", "doc_id", fixed(words_of(F.col("text"))).alias("words"))
     if not facts["kinds"]:
         return near.select("row_id", "doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment")).where(F.lit(False))
     known = t.agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("a")).scalar()

@@ -13,3 +13,11 @@ def test_cc_families(spark):
     df = spark.createDataFrame([(i, f"some words before\n{t}\nand after") for i, t in enumerate(want)], "doc_id long, text string")
     got = {r.doc_id: r.licenses.split(",") for r in license_scan.result(df).collect()}
     assert all(k in got[i] for i, k in enumerate(want.values())), got
+
+
+def test_anchors_lose_nothing(spark):
+    letters = " ".join("abcdefghijklmnopqrstuvwx")
+    templates = spark.createDataFrame([("pt", "LICENÇA PÚBLICA"), ("again", "longword a b c d " * 7 + "longword " + letters)], "license_id string, text string")
+    df = spark.createDataFrame([(1, "x LICENÇA PÚBLICA y"), (2, letters)], "doc_id long, text string")
+    got = {r.doc_id: [(x.license_id, round(x.containment, 3)) for x in r.licenses] for r in license_scan.scanned(df, templates).collect()}
+    assert got == {1: [("pt", 1.0)], 2: [("again", 0.8)]}
