@@ -1,8 +1,8 @@
 """Byte-level BPE by DuckDB recursive queries, one in-memory database a partition.
 
-A text is cut by the vocabulary's pattern; every distinct piece that a worker hasn't met yet becomes rows
-(word, pos, tok), one a byte.  A recursive query joins neighbouring tokens with the merge table and contracts each
-word's leftmost pair of minimum rank, until no word has a pair left.  The ids of a document are its pieces' ids in
+A text is cut by the vocabulary's pattern; every distinct piece that a worker hasn't met yet and that is no entry of
+the vocabulary becomes rows (word and position, token), one a byte.  A recursive query joins neighbouring tokens with
+the merge table and contracts each word's leftmost pair of minimum rank, until no word has a pair left.  The ids of a document are its pieces' ids in
 order.  Decoding joins (word, pos, id) rows with the vocabulary and puts the bytes together by ordered aggregation.
 
 The merge table holds every split of a vocabulary entry into two entries: any two neighbouring tokens whose bytes
@@ -22,30 +22,32 @@ import base64
 import hashlib
 import heapq
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK, CACHE, BATCH, LONG = 1 << 20, 400_000, 1 << 19, 400
+CHUNK, CACHE, BATCH, LONG = 2 << 20, 400_000, 1 << 20, 400
+POSITION = (1 << 20) - 1
 
-#: key packs (rank, pos, position of the right neighbour), so that its minimum is the leftmost pair of minimum rank;
-#: ten bits hold a position, as ``LONG`` is below 1024
-ENCODE = """
-WITH RECURSIVE step(word, pos, tok, done) AS (
-    SELECT word, pos, tok, false FROM bytes_in
+#: A row's key ``k`` is its word's number and its position in the word, so that a token's right neighbour is the row of
+#: the next key; a pair's key is (rank, position), whose minimum is the leftmost pair of minimum rank.
+ENCODE = f"""
+WITH RECURSIVE step(k, tok, done) AS (
+    SELECT k, tok, false FROM bytes_in
   UNION ALL
-    (WITH pairs AS (
-       SELECT s.word, s.pos, s.tok, (m.merged::BIGINT << 20) | (s.pos << 10) | s.nxt_pos AS key
-       FROM (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS nxt_pos FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-       LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt),
-     best AS (SELECT word, min(key) AS key FROM pairs GROUP BY word)
-     SELECT p.word, p.pos, CASE WHEN p.pos = (b.key >> 10) & 1023 THEN (b.key >> 20)::INTEGER ELSE p.tok END, b.key IS NULL
-     FROM pairs p JOIN best b ON p.word = b.word
-     WHERE b.key IS NULL OR p.pos <> b.key & 1023))
-SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word
+    (WITH best AS (
+       SELECT s.k >> 20 AS word, min((m.merged << 20) | (s.k & {POSITION})) AS key
+       FROM step s JOIN step n ON n.k = s.k + 1 JOIN merges m ON m.pair = ((s.tok::BIGINT << 20) | n.tok)
+       WHERE NOT s.done GROUP BY 1)
+     SELECT s.k - (CASE WHEN s.k & {POSITION} > b.key & {POSITION} THEN 1 ELSE 0 END),
+            CASE WHEN s.k & {POSITION} = b.key & {POSITION} THEN (b.key >> 20)::INTEGER ELSE s.tok END, b.key IS NULL
+     FROM step s LEFT JOIN best b ON b.word = s.k >> 20
+     WHERE NOT s.done AND (b.key IS NULL OR s.k & {POSITION} <> (b.key & {POSITION}) + 1)))
+SELECT k, tok FROM step WHERE done
 """
-DECODE = "SELECT word, unhex(string_agg(v.hexed, '' ORDER BY pos)) AS bytes FROM ids_in JOIN vocab v USING (tok) GROUP BY word"
+DECODE = "SELECT word, list(v.bytes ORDER BY pos) AS parts FROM ids_in JOIN vocab v USING (tok) GROUP BY word"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,11 +63,13 @@ class Codec:
 
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.ids: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        l, r, m = (pa.array(x, pa.int32()) for x in zip(*splits)) if splits else (pa.array([], pa.int32()),) * 3
-        self._table("merges", l=l, r=r, merged=m)
-        self._table("vocab", tok=pa.array(list(self.ranks.values()), pa.int32()), hexed=pa.array([t.hex() for t in self.ranks]))
+        # no temp_directory: what a statement holds is bounded, and nothing is written beside the shared folder
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        splits = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        pair, merged = (pa.array(x, pa.int64()) for x in zip(*splits)) if splits else (pa.array([], pa.int64()),) * 2
+        self._table("merges", pair=pair, merged=merged)
+        self._table("vocab", tok=pa.array(list(self.ranks.values()), pa.int32()), bytes=pa.array(list(self.ranks), pa.binary()))
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("arrow_in", pa.table(columns))
@@ -92,40 +96,50 @@ class Codec:
                     heapq.heappush(heap, (x, k, parts[k], parts[nxt[k]]))
         return [t for t, p in zip(toks, parts) if p is not None]
 
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers, by the recursive query."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        k = np.repeat(np.arange(len(words)), sizes) << 20 | pos
+        self._table("bytes_in", k=pa.array(k), tok=pa.array(self.single[np.frombuffer(b"".join(words), np.uint8)]))
+        out = self.db.sql(ENCODE).to_arrow_table()
+        k, tok = (out.column(c).to_numpy() for c in ("k", "tok"))
+        ids = tok[np.argsort(k)].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(k >> 20, minlength=len(words)) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
     def _merge(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in words]
-        single = {bytes([b]): self.ranks[bytes([b])] for b in range(256)}
-        at, pos, tok = [], [], []
-        for k, w in enumerate(words):
-            if w in self.ranks:
-                out[k] = [self.ranks[w]]
-            elif len(w) > LONG:
-                out[k] = self._by_heap(w)
-            else:
-                at += [k] * len(w)
-                pos += range(len(w))
-                tok += [single[w[i : i + 1]] for i in range(len(w))]
-        if at:
-            self._table("bytes_in", word=pa.array(at, pa.int32()), pos=pa.array(pos, pa.int32()), tok=pa.array(tok, pa.int32()))
-            for k, ids in self.db.execute(ENCODE).fetchall():
-                out[k] = ids
+        """The ids of each word: its own where it is an entry, else by the query or, for a long one, the heap."""
+        out = [[self.ranks[w]] if w in self.ranks else self._by_heap(w) if len(w) > LONG else [] for w in words]
+        some = [i for i, ids in enumerate(out) if not ids and words[i]]
+        for i, ids in zip(some, self._contracted([words[i] for i in some]) if some else []):
+            out[i] = np.frombuffer(ids, "<u4").tolist()
         return out
 
     def learn(self, pieces) -> None:
         """Encode the pieces that aren't in the cache."""
-        new, size = [], 0
+        known, ranks, new, size = self.ids, self.ranks, [], 0
         for p in pieces:
-            if p not in self.ids:
-                new.append(p)
-                size += len(p)
-                if size >= BATCH:
-                    self._keep(new)
-                    new, size = [], 0
+            if p not in known:
+                word = p.encode("utf-8", "surrogatepass")
+                if word in ranks:
+                    known[p] = ranks[word].to_bytes(4, "little")
+                else:
+                    new.append((p, word))
+                    size += len(word)
+                    if size >= BATCH:
+                        self._keep(new)
+                        new, size = [], 0
         self._keep(new)
 
-    def _keep(self, new: list[str]) -> None:
-        for p, ids in zip(new, self._merge([p.encode("utf-8", "surrogatepass") for p in new])):
-            self.ids[p] = b"".join(i.to_bytes(4, "little") for i in ids)
+    def _keep(self, new: list[tuple[str, bytes]]) -> None:
+        short = [x for x in new if len(x[1]) <= LONG]
+        if short:
+            names, words = zip(*short)
+            self.ids.update(zip(names, self._contracted(words)))
+        for p, word in new:
+            if len(word) > LONG:
+                self.ids[p] = np.array(self._by_heap(word), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -147,8 +161,6 @@ class Codec:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each id sequence, by ordered aggregation."""
-        import numpy as np
-
         out, start = [b""] * len(ids), 0
         while start < len(ids):
             end, size = start, 0
@@ -158,8 +170,14 @@ class Codec:
             counts = np.array([len(x) // 4 for x in ids[start:end]])
             toks = np.frombuffer(b"".join(ids[start:end]), "<u4").astype(np.int32)
             self._table("ids_in", word=pa.array(np.repeat(np.arange(start, end, dtype=np.int32), counts)), pos=pa.array(np.arange(len(toks), dtype=np.int32)), tok=pa.array(toks))
-            for k, b in self.db.execute(DECODE).fetchall():
-                out[k] = bytes(b)
+            found = self.db.sql(DECODE).to_arrow_table()
+            parts = pa.concat_arrays(found.column("parts").chunks) if found.num_rows else pa.array([], pa.list_(pa.binary()))
+            flat = parts.flatten().cast(pa.large_binary())
+            at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+            ends = at[np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))] if len(parts) else at[:0]
+            whole = flat.buffers()[2]
+            for k, a, b in zip(found.column("word").to_pylist(), [int(at[0]), *ends.tolist()], ends.tolist()):
+                out[k] = whole[a:b].to_pybytes()
             start = end
         return out
 
@@ -180,8 +198,8 @@ def _mapped(docs: DataFrame, column: str, out: list[tuple[str, T.DataType]], run
 
     def mapped(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *run(part.column(column).to_pylist())], names=schema.names)
 
     return docs.select("doc_id", column).mapInArrow(mapped, schema)
