@@ -26,6 +26,15 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or name_2, name_3 ... where the columns ``taken`` hold it (in any case)."""
+    held, i, found = {c.lower() for c in taken}, 1, name
+    while found.lower() in held:
+        i += 1
+        found = f"{name}_{i}"
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
