@@ -1,7 +1,8 @@
-"""Elias-Fano sequences in numpy: monotone integers in about 2 + log2(u / n) bits each, over memory-mapped words.
+"""Elias-Fano sequences in numpy: monotone integers in about 3 + log2(u / n) bits each, over memory-mapped words.
 
 Queries are arrays; ``at`` selects ones of the upper bits, ``find`` the zeros that bound the run of equal upper bits and
-then bisects the run's lower bits.
+then bisects the run's lower bits.  A directory holds the ones and zeros before each word of upper bits; inside a word
+bits are selected by byte sums in one register.
 """
 
 from __future__ import annotations
@@ -10,32 +11,28 @@ import json
 
 import numpy as np
 
-BLOCK = 4  # words of upper bits that share a rank entry
-SLICE = 1 << 16
-_POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SEL8 = np.array([[[b for b in range(8) if i >> b & 1][k] if k < bin(i).count("1") else 0 for k in range(8)] for i in range(256)], np.uint8)
+_SEL8 = np.array([[[b for b in range(8) if i >> b & 1][k] if k < bin(i).count("1") else 0 for k in range(8)] for i in range(256)], np.uint8).ravel()
+_U = np.uint64
+_ONES = _U(0x0101010101010101)
+_TOPS = _U(0x8080808080808080)
+
+
+def _select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Position of the r-th (from 0) one of each word."""
+    s = x - (x >> _U(1) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + (s >> _U(2) & _U(0x3333333333333333))
+    s = (s + (s >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # byte i: ones in bytes 0 to i
+    whole = ((r * _ONES | _TOPS) - s & _TOPS) >> _U(7)  # bytes whose sum is r or less
+    shift = (whole * _ONES >> _U(56)) << _U(3)
+    r = r - ((s << _U(8)) >> shift & _U(255))
+    return shift + _SEL8[(x >> shift & _U(255)) << _U(3) | r]
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, zeros: bool) -> np.ndarray:
     """Positions of the k-th (from 0) ones, or zeros, of a bit sequence."""
-    out = np.empty(len(k), np.int64)
-    for i in range(0, len(k), SLICE):
-        q = k[i : i + SLICE]
-        block = np.searchsorted(before, q, "right") - 1
-        r = q - before[block]
-        w = words[block[:, None] * BLOCK + np.arange(BLOCK)]
-        if zeros:
-            w = ~w
-        upto = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int64)
-        j = (upto <= r[:, None]).sum(axis=1)
-        line = np.arange(len(q))
-        r = r - np.where(j > 0, upto[line, j - 1], 0)
-        bytes_ = np.ascontiguousarray(w[line, j]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POP8[bytes_], axis=1, dtype=np.int64)
-        b = (upto <= r[:, None]).sum(axis=1)
-        r = r - np.where(b > 0, upto[line, b - 1], 0)
-        out[i : i + SLICE] = (block * BLOCK + j) * 64 + b * 8 + _SEL8[bytes_[line, b], r]
-    return out
+    word = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+    w = words[word]
+    return (word << 6) + _select_in_word(~w if zeros else w, (k - before[word]).astype(_U)).astype(np.int64)
 
 
 class EliasFano:
@@ -50,7 +47,7 @@ class EliasFano:
         last = int(values[-1]) if n else 0
         l = max(0, (last // max(1, n)).bit_length() - 1) if n else 0
         upper = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
-        size = ((last >> l) + n + 1 + 64 * BLOCK) // (64 * BLOCK) * (64 * BLOCK)
+        size = ((last >> l) + n + 1 + 64) // 64 * 64
         bits = np.zeros(size, bool)
         bits[upper] = True
         high = np.packbits(bits, bitorder="little").view("<u8")
@@ -59,13 +56,14 @@ class EliasFano:
             part = values & np.uint64((1 << l) - 1)
             at = np.arange(n, dtype=np.int64) * l
             word, off = at >> 6, (at & 63).astype(np.uint64)
-            np.bitwise_or.at(low, word, part << off)
-            over = off + np.uint64(l) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - off[over]))
-        per = np.bitwise_count(high).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
-        ones = np.concatenate([[0], np.cumsum(per)])[:-1]
-        zeros = np.arange(len(per), dtype=np.int64) * 64 * BLOCK - ones
-        return cls(n, l, low, high, ones.astype(np.int64), zeros)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            low[word[first]] = np.bitwise_or.reduceat(part << off, first)
+            over = np.flatnonzero(off + np.uint64(l) > 64)  # one a word at most
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - off[over])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])[:-1]
+        zeros = np.arange(len(high), dtype=np.int64) * 64 - ones
+        kind = np.uint32 if size < 1 << 32 else np.uint64
+        return cls(n, l, low, high, ones.astype(kind), zeros.astype(kind))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         l = self.low_bits
@@ -73,15 +71,24 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         at = i * l
         word, off = at >> 6, (at & 63).astype(np.uint64)
-        a = self.low[word] >> off
-        b = np.where(off > 0, self.low[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
-        return (a | b) & np.uint64((1 << l) - 1)
+        return (self.low[word] >> off | self.low[word + 1] << np.uint64(1) << np.uint64(63) - off) & np.uint64((1 << l) - 1)
 
     def at(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
         upper = (_select(self.high, self.ones, i, False) - i).astype(np.uint64)
         return upper << np.uint64(self.low_bits) | self._low(i)
 
+    def two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1, by one selection where both lie in one word."""
+        i = np.asarray(i, np.int64)
+        bit = _select(self.high, self.ones, i, False)
+        rest = self.high[bit >> 6] >> (bit & 63).astype(np.uint64) >> np.uint64(1)
+        after = bit + 1 + np.bitwise_count(~rest & rest - np.uint64(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = _select(self.high, self.ones, i[far] + 1, False)
+        shift = np.uint64(self.low_bits)
+        return (bit - i).astype(np.uint64) << shift | self._low(i), (after - i - 1).astype(np.uint64) << shift | self._low(i + 1)
+
     def find(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
         """The index in [begin, end) of each x, or -1."""
         x = np.asarray(x, np.uint64)
@@ -94,26 +101,27 @@ class EliasFano:
         bit = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) + 1, 0)  # where the run of ones begins
         lo = bit - h
         word, off = bit >> 6, (bit & 63).astype(np.uint64)
-        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
-        seen = self.high[word] >> off | np.where(off > 0, after << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+        seen = self.high[word] >> off | self.high[np.minimum(word + 1, len(self.high) - 1)] << np.uint64(1) << np.uint64(63) - off
         run = np.bitwise_count(seen & ~(seen + np.uint64(1))).astype(np.int64)
         hi = lo + run
         long = np.flatnonzero(run >= 64 - off.astype(np.int64))
         hi[long] = _select(self.high, self.zeros, h[long], True) - h[long]
-        lo = np.maximum(lo, begin)
+        a = np.maximum(lo, begin)
         hi = np.minimum(hi, self.n if end is None else end)
         want = x & np.uint64((1 << self.low_bits) - 1)
-        a, b = lo.copy(), hi.copy()
-        while (go := a < b).any():
-            k = np.flatnonzero(go)
-            mid = (a[k] + b[k]) >> 1
-            less = self._low(mid) < want[k]
-            a[k] = np.where(less, mid + 1, a[k])
-            b[k] = np.where(less, b[k], mid)
-        ok = inside & (a < hi)
-        k = np.flatnonzero(ok)
-        ok[k] = self._low(a[k]) == want[k]
-        return np.where(ok, a, -1)
+        b = hi.copy()
+        go = np.flatnonzero(b - a > 1)
+        while len(go):  # a ends at the last value that isn't above x
+            mid = (a[go] + b[go]) >> 1
+            above = self._low(mid) > want[go]
+            a[go] = np.where(above, a[go], mid)
+            b[go] = np.where(above, mid, b[go])
+            go = go[b[go] - a[go] > 1]
+        k = np.flatnonzero(inside & (a < hi))
+        out = np.full(len(x), -1, np.int64)
+        k = k[self._low(a[k]) == want[k]]
+        out[k] = a[k]
+        return out
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.shape": np.array([self.n, self.low_bits]), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros}
@@ -124,6 +132,27 @@ class EliasFano:
         return cls(n, l, *(held[f"{name}.{part}"] for part in ("low", "high", "ones", "zeros")))
 
 
+def packed_run(values: np.ndarray) -> bytes:
+    """Sorted uint64 values as one Elias-Fano block for sequential reading: lower bits are whole bytes."""
+    n = len(values)
+    base, span = (int(values[0]), int(values[-1]) - int(values[0])) if n else (0, 0)
+    low = min(range(9), key=lambda b: n * b + ((span >> 8 * b) + n) / 8)
+    rest = values - np.uint64(base)
+    upper = (rest >> np.uint64(8 * low) if low < 8 else np.zeros(n, np.uint64)).astype(np.int64) + np.arange(n)
+    bits = np.zeros(int(upper[-1]) + 1 if n else 0, bool)
+    bits[upper] = True
+    head = np.array([n, low, base], np.uint64).tobytes()
+    return head + np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low]).tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def unpacked_run(block: bytes) -> np.ndarray:
+    n, low, base = (int(x) for x in np.frombuffer(block, np.uint64, 3))
+    rest = np.zeros((n, 8), np.uint8)
+    rest[:, :low] = np.frombuffer(block, np.uint8, n * low, 24).reshape(n, low)
+    upper = np.flatnonzero(np.unpackbits(np.frombuffer(block, np.uint8, -1, 24 + n * low), bitorder="little")) - np.arange(n)
+    return rest.view("<u8")[:, 0] + (upper.astype(np.uint64) << np.uint64(8 * low) if low < 8 else np.uint64(0)) + np.uint64(base)
+
+
 def packed(arrays: dict[str, np.ndarray]) -> bytes:
     """Named arrays as one block: length of the header, header (JSON), arrays at multiples of 8 bytes."""
     head, parts, at = {}, [], 0
