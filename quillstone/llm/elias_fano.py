@@ -12,6 +12,7 @@ import json
 import numpy as np
 
 _SEL8 = np.array([[[b for b in range(8) if i >> b & 1][k] if k < bin(i).count("1") else 0 for k in range(8)] for i in range(256)], np.uint8).ravel()
+SLICE = 1 << 18
 _U = np.uint64
 _ONES = _U(0x0101010101010101)
 _TOPS = _U(0x8080808080808080)
@@ -46,20 +47,21 @@ class EliasFano:
         n = len(values)
         last = int(values[-1]) if n else 0
         l = max(0, (last // max(1, n)).bit_length() - 1) if n else 0
-        upper = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
         size = ((last >> l) + n + 1 + 64) // 64 * 64
         bits = np.zeros(size, bool)
-        bits[upper] = True
-        high = np.packbits(bits, bitorder="little").view("<u8")
         low = np.zeros(n * l // 64 + 2, np.uint64)
-        if l:
-            part = values & np.uint64((1 << l) - 1)
-            at = np.arange(n, dtype=np.int64) * l
-            word, off = at >> 6, (at & 63).astype(np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            low[word[first]] = np.bitwise_or.reduceat(part << off, first)
-            over = np.flatnonzero(off + np.uint64(l) > 64)  # one a word at most
-            low[word[over] + 1] |= part[over] >> (np.uint64(64) - off[over])
+        for i in range(0, n, SLICE):  # SLICE values fill whole words of lower bits
+            part = values[i : i + SLICE]
+            bits[(part >> np.uint64(l)).astype(np.int64) + np.arange(i, i + len(part))] = True
+            if l:
+                part = part & np.uint64((1 << l) - 1)
+                at = np.arange(i, i + len(part), dtype=np.int64) * l
+                word, off = at >> 6, (at & 63).astype(np.uint64)
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                low[word[first]] |= np.bitwise_or.reduceat(part << off, first)
+                over = np.flatnonzero(off + np.uint64(l) > 64)  # one a word at most
+                low[word[over] + 1] |= part[over] >> (np.uint64(64) - off[over])
+        high = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])[:-1]
         zeros = np.arange(len(high), dtype=np.int64) * 64 - ones
         kind = np.uint32 if size < 1 << 32 else np.uint64
@@ -78,6 +80,15 @@ class EliasFano:
         upper = (_select(self.high, self.ones, i, False) - i).astype(np.uint64)
         return upper << np.uint64(self.low_bits) | self._low(i)
 
+    def values(self) -> np.ndarray:
+        """All values, read in order."""
+        out = np.empty(self.n, np.uint64)
+        upper = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        for i in range(0, self.n, SLICE):
+            k = np.arange(i, min(self.n, i + SLICE))
+            out[k] = (upper[k] - k).astype(np.uint64) << np.uint64(self.low_bits) | self._low(k)
+        return out
+
     def two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values at i and at i + 1, by one selection where both lie in one word."""
         i = np.asarray(i, np.int64)

@@ -46,8 +46,9 @@ from .common import shared_path, written
 from .elias_fano import EliasFano, mapped, packed, packed_run, unpacked_run
 
 END = np.uint64(0x2545F4914F6CDD1D)  # stands for the end of a text
-PIECE = 5 << 20  # bytes of text, or of ids, that are handled at a time; a longer text alone
-FLUSH = 4_000_000  # n-grams a task holds before it sends them
+PIECE = 3 << 20  # bytes of text, or of ids, that are handled at a time; a longer text alone
+SLICE = 1 << 19  # n-grams whose probabilities are worked out at a time
+FLUSH = 2_500_000  # n-grams a task holds before it sends them
 LIMIT = 1 << 23  # tokens whose n-grams make up a shard
 SHARD_BYTES = 1 << 26  # text whose words make up a shard
 DISCOUNT = 0.5
@@ -175,13 +176,16 @@ def distinct(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     """Sorted distinct keys and the sums of their counts (1 each without ``counts``)."""
     if not len(keys):
         return keys, np.zeros(0, np.int64)
+    if counts is not None and int(counts.sum(dtype=np.int64)) <= 2 * len(keys):  # mostly ones: cheaper to sort than to carry along
+        keys, counts = np.repeat(keys, counts), None
     if counts is None:
         keys = np.sort(keys)
     else:
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
+        del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
+    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
@@ -199,14 +203,13 @@ def blobs(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray):
 
 
 def unblob(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
     for k, c in zip(table.column("keys"), table.column("counts")):
         if k.is_valid:
             run, held = unpacked_run(k.as_py()), c.as_py()
             keys.append(run)
             counts.append(np.frombuffer(held, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(held) // len(run)]))
-    k, c = distinct(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-    return k, c
+    return distinct(np.concatenate(keys), np.concatenate(counts))
 
 
 def counted(rows: DataFrame, column: str, keys_of, bucket_of) -> DataFrame:
@@ -381,6 +384,17 @@ class Trie:
             out[at] = self.level("bigrams", s)["pointer"].at(u[at] - int(self.bounds[s] >> np.uint64(32))).astype(np.int64) + self.positions[s]
         return out
 
+    def bigrams_of(self, s: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and second words of the bigrams at a to b of shard s."""
+        held, level = self.level("counts", s), self.level("bigrams", s)
+        count = held["count"][a:b].astype(np.int64)
+        big = np.flatnonzero((held["big"] >= a) & (held["big"] < b))
+        count[held["big"][big] - a] = held["of_big"][big]
+        value, starts = level["next"].values(), level["pointer"].values().astype(np.int64)
+        some = starts[:-1][np.diff(starts) > 0]  # first positions of the ranges, each upon the last value of the one before
+        before = np.concatenate([[0], value])[some].astype(np.uint64)
+        return count, (value[a:b] - before[np.searchsorted(some, np.arange(a, b), "right") - 1]).astype(np.int64)
+
     def trigrams(self, pos: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of the trigrams, sorted (bigram position, rank of w among the successors of v), nan if not stored;
         and the back-off weight of the bigrams."""
@@ -516,10 +530,14 @@ def _put_bigrams(meta: Meta, t: Trie, s: int, k: np.ndarray, c: np.ndarray, spre
     for word, n in spread.items():
         kinds[word - lo] = n
     spare = np.where(kinds > 0, DISCOUNT * kinds / np.maximum(1, total), 1.0)
-    p = (c - DISCOUNT) / total[u] + spare[u] * 10 ** t.unigram(t.counts(v))
+    p = np.empty(len(k), np.uint8)
+    for i in range(0, len(k), SLICE):
+        x = slice(i, i + SLICE)
+        p[x] = quantised(np.log10((c[x] - DISCOUNT) / total[u[x]] + spare[u[x]] * 10 ** t.unigram(t.counts(v[x]))), P_FLOOR)
     held = EliasFano.build(starts).arrays("pointer") | EliasFano.build(ranges_to_monotone(u, v, starts[:-1])).arrays("next")
-    put(f"{meta.folder}/bigrams-{s}", packed(held | {"p": quantised(np.log10(p), P_FLOOR), "back": quantised(np.log10(spare), BACK_FLOOR)}))
-    put(f"{meta.folder}/counts-{s}", packed({"count": narrow(c), "v": v.astype(np.uint32)}))
+    put(f"{meta.folder}/bigrams-{s}", packed(held | {"p": p, "back": quantised(np.log10(spare), BACK_FLOOR)}))
+    big = np.flatnonzero(c > 255)
+    put(f"{meta.folder}/counts-{s}", packed({"count": np.minimum(c, 255).astype(np.uint8), "big": big, "of_big": c[big]}))
 
 
 def _bigrams_level(meta: Meta):
@@ -551,13 +569,16 @@ def _trigrams_level(meta: Meta):
         node, rank = (k >> bits).astype(np.int64) - lo, (k & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
         starts = np.searchsorted(node, np.arange(hi - lo + 1))
         owner = int(np.searchsorted(t.positions, lo, "right")) - 1
-        held, a = t.level("counts", owner), lo - meta.positions[owner]
-        total, v = held["count"][a : a + hi - lo].astype(np.int64), held["v"][a : a + hi - lo].astype(np.int64)
+        total, v = t.bigrams_of(owner, lo - meta.positions[owner], hi - meta.positions[owner])
         kinds = np.diff(starts)
         spare = np.where(kinds > 0, DISCOUNT * kinds / np.maximum(1, total), 1.0)
-        p = (c - DISCOUNT) / total[node] + spare[node] * 10 ** t.p_of_bigram(t.first_successor(v[node]) + rank)
+        p = np.empty(len(k), np.uint8)
+        for i in range(0, len(k), SLICE):
+            x = slice(i, i + SLICE)
+            lower = 10 ** t.p_of_bigram(t.first_successor(v[node[x]]) + rank[x])
+            p[x] = quantised(np.log10((c[x] - DISCOUNT) / total[node[x]] + spare[node[x]] * lower), P_FLOOR)
         out = EliasFano.build(starts).arrays("pointer") | EliasFano.build(ranges_to_monotone(node, rank, starts[:-1])).arrays("next")
-        put(f"{meta.folder}/trigrams-{s}", packed(out | {"p": quantised(np.log10(p), P_FLOOR), "back": quantised(np.log10(spare), BACK_FLOOR)}))
+        put(f"{meta.folder}/trigrams-{s}", packed(out | {"p": p, "back": quantised(np.log10(spare), BACK_FLOOR)}))
         return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(k)])})
 
     return run
