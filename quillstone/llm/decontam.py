@@ -2,23 +2,30 @@
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters.  A test item is cut into
 windows of ``window`` consecutive words; an item with fewer words, but at least one, is one window.  For windows of
-n words the fingerprint is the minimum of the hashes of their k-grams, with ``k + w - 1 = n``: as every window of a
-document keeps the minimum of its w k-gram hashes, a shared span of n words always shares a fingerprint.  Fingerprints
-of both sides are joined and each hit is extended to the whole window, word by word, so hash collisions cannot count.
+n words, texts are k-grams, with ``k + w - 1 = n``, and winnowing keeps, of each run of w k-gram hashes, the rightmost
+minimum, once for all the runs that share it: about two of w + 1 positions.  A shared span of n words holds the same
+run on both sides and so always shares a kept fingerprint at the same place.
+
+Kept fingerprints of both sides are joined; each hit is verified word by word and extended to both sides by as many equal
+words as a window around it can hold.  Extensions of n words or more are hits, so hash collisions cannot count, and as
+every shared window has a kept fingerprint in it, their union is the union of all shared windows.
 
 Cases: null text has no words; no words or no match gives ``n_hit`` 0; an empty benchmark contaminates nothing;
-repeated rows give one result row each; a null ``item_id`` still marks words but is not listed among the items.
+repeated rows give one result row each; a null ``item_id`` still marks words but is not listed among the items; columns
+of any name pass ``decontaminated``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import free_name, lower_ascii
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Test windows beyond this count are joined by shuffle instead of broadcast (about 300 bytes each).
+#: Kept test fingerprints beyond this count are joined by shuffle instead of broadcast (about 300 bytes each).
 BROADCAST_WINDOWS = 200_000
 
 
@@ -26,13 +33,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def fingerprint(hashes: Column, at: Column, n: int, k: int) -> Column:
-    """Minimum k-gram hash among the n words from 0-based position ``at``."""
-    word = lambda i: F.get(hashes, at + F.lit(i))
-    grams = [F.xxhash64(*[word(j + i) for i in range(k)]) for j in range(n - k + 1)]
-    return grams[0] if len(grams) == 1 else F.least(*grams)
-
-
 def gram_length(n: int, most: int = 6) -> int:
     return min(n, most)
 
@@ -46,18 +46,44 @@ def hashed(df: DataFrame, *keep: Column) -> DataFrame:
     return df.select(*keep, words_of(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def test_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Distinct windows: n, span (array of words), fp, win_items (sorted ids as strings)."""
-    items = hashed(benchmark, F.col("item_id").cast("string").alias("item")).where(F.size("words") > 0)
-    spans = items.withColumn("n", F.least(F.size("words"), F.lit(window))).select(
-        "item", "n", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("p")
-    ).select("n", F.slice("words", F.col("p") + 1, F.col("n")).alias("span"), "item")
-    return spans.groupBy("n", "span").agg(F.sort_array(F.collect_set("item")).alias("win_items")).withColumn("hashes", F.transform("span", lambda w: F.xxhash64(w)))
+def with_grams(rows: DataFrame, k: int) -> DataFrame:
+    """rows with ``grams``: the hash of the k words from each position on, null past the last."""
+    gram = lambda h, i: F.when(i + k <= F.size("hashes"), F.xxhash64(h, *[F.get(F.col("hashes"), i + j) for j in range(1, k)]))
+    return rows.withColumn("grams", F.transform("hashes", gram))
+
+
+def is_kept(p: Column, w: int) -> Column:
+    """Whether the k-gram at p is the rightmost minimum of some run of w."""
+    at = lambda i: F.get(F.col("grams"), i)
+    run = lambda tests: reduce(lambda longer, t: F.when(t, longer + 1).otherwise(0), reversed(tests), F.lit(0))
+    left = run([F.coalesce(at(p - j) >= at(p), F.lit(False)) for j in range(1, w)])
+    right = run([F.coalesce(at(p + j) > at(p), F.lit(False)) for j in range(1, w)])
+    return at(p).isNotNull() & (left + right + 1 >= w)
+
+
+def equal_run(a: Column, i: Column, b: Column, j: Column, step: int, most: int) -> Column:
+    """How many elements of a from i on equal those of b from j on, going by ``step``, ``most`` at most."""
+    same = [F.coalesce(F.get(a, i + step * x) == F.get(b, j + step * x), F.lit(False)) for x in range(most)]
+    return reduce(lambda longer, t: F.when(t, longer + 1).otherwise(0), reversed(same), F.lit(0))
+
+
+def test_fingerprints(benchmark: DataFrame, window: int) -> DataFrame:
+    """Kept fingerprints by surroundings: n, fp, at (place of the k-gram in ``around``), around (words), win_items (sorted ids as strings)."""
+    items = hashed(benchmark, F.col("item_id").cast("string").alias("item")).where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(window)))
+    parts = []
+    for n in range(1, window + 1):
+        k = gram_length(n)
+        rows = with_grams(items.where(F.col("n") == n), k).select("item", "words", "grams", F.posexplode("grams").alias("q", "fp")).where(is_kept(F.col("q"), n - k + 1))
+        first = F.greatest(F.col("q") - (n - k), F.lit(0))
+        around = F.slice("words", first + 1, F.col("q") - first + n)
+        parts.append(rows.select(F.lit(n).alias("n"), "fp", (F.col("q") - first).alias("at"), around.alias("around"), "item"))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("n", "fp", "at", "around").agg(F.sort_array(F.collect_set("item")).alias("win_items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, item_ids (array of strings, sorted), contaminated."""
-    tests = test_windows(benchmark, window)
+    tests = test_fingerprints(benchmark, window)
     lengths = {r["n"]: r["c"] for r in tests.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most ``window`` rows
     small = sum(lengths.values()) <= broadcast_windows
     tok = hashed(docs, F.col("doc_id"), F.xxhash64("text").alias("tid"))
@@ -65,32 +91,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     parts = []
     for n in sorted({window, *lengths}, reverse=True):
         k = gram_length(n)
-        right = tests.where(F.col("n") == n).select(fingerprint(F.col("hashes"), F.lit(0), n, k).alias("fp"), "span", "win_items")
-        first = F.lit(-1 if n == window else 0)
+        spare = n - k
+        right = tests.where(F.col("n") == n).select(F.col("fp").alias("test_fp"), "at", "around", "win_items")
         size = F.size("hashes")
-        rows = tok if n == window else tok.where(size >= n)
-        rows = rows.select("doc_id", "tid", "words", "hashes", F.explode(F.sequence(first, F.greatest(first, size - n))).alias("p"))
-        fits = (F.col("p") >= 0) & (F.col("p") + n <= F.size("hashes"))
-        rows = rows.withColumn("key", F.when(fits, fingerprint(F.col("hashes"), F.col("p"), n, k)))
+        rows = with_grams(tok if n == window else tok.where(size >= n), k)
+        first = F.lit(-1 if n == window else 0)
+        rows = rows.select("doc_id", "tid", "words", "grams", F.explode(F.sequence(first, F.greatest(first, size - k))).alias("p"))
+        rows = rows.where((F.col("p") == -1) | is_kept(F.col("p"), spare + 1)) if n == window else rows.where(is_kept(F.col("p"), spare + 1))
+        rows = rows.withColumn("fp", F.when(F.col("p") >= 0, F.get("grams", F.col("p"))))
+        if small:  # the words stay in the row, and are only looked at where fingerprints meet
+            own, here = F.col("words"), F.col("p")
+            met = rows.join(F.broadcast(right), F.col("fp") == F.col("test_fp"), "left")
+        else:
+            lead = F.least(F.greatest(F.col("p"), F.lit(0)), F.lit(spare))
+            met = rows.select("doc_id", "tid", "p", "fp", F.when(F.col("p") == -1, F.size("words")).alias("size"), lead.alias("lead"), F.when(F.col("p") >= 0, F.slice("words", F.col("p") - lead + 1, lead + n)).alias("own"))
+            marks = met.where(F.col("p") == -1)
+            met = met.where(F.col("p") >= 0).join(right.hint("merge"), F.col("fp") == F.col("test_fp"))
+            own, here = F.col("own"), F.col("lead")
+        same = equal_run(own, here, F.col("around"), F.col("at"), 1, k) == k
+        before = equal_run(own, here - 1, F.col("around"), F.col("at") - 1, -1, spare)
+        after = equal_run(own, here + k, F.col("around"), F.col("at") + k, 1, spare)
+        hit = (F.col("p") >= 0) & F.col("win_items").isNotNull() & same & (before + after >= spare)
+        spans = [F.when(hit, F.col("p") - before).otherwise(-1).alias("start"), F.when(hit, F.col("p") + k + after).alias("end")]
         if small:
-            own = F.slice("words", F.greatest(F.col("p"), F.lit(0)) + 1, F.lit(n))
-            #: two inequalities: as an equality it would become a join key, computed for every position and not only for hits
-            same = (F.col("key") == F.col("fp")) & (own <= F.col("span")) & (own >= F.col("span"))
-            hits = rows.join(F.broadcast(right), same, "left").where((F.col("p") == -1) | F.col("span").isNotNull())
-            parts.append(hits.select("doc_id", "tid", "p", F.lit(n).alias("n"), F.when(F.col("p") == -1, F.size("words")).alias("n_words"), "win_items"))
+            found = met.where(hit | (F.col("p") == -1)).select("doc_id", "tid", *spans, F.when(F.col("p") == -1, F.size("words")).alias("n_words"), "win_items")
+            parts.append(found)
         else:
+            parts.append(met.where(hit).select("doc_id", "tid", *spans, F.lit(None).cast("int").alias("n_words"), "win_items"))
             if n == window:
-                parts.append(tok.select("doc_id", "tid", F.lit(-1).alias("p"), F.lit(n).alias("n"), F.size("words").alias("n_words"), F.lit(None).cast("array<string>").alias("win_items")))
-            spans = rows.where(F.col("key").isNotNull()).select("doc_id", "tid", "p", "key", F.slice("words", F.col("p") + 1, F.lit(n)).alias("own"))
-            hits = spans.join(right.hint("merge"), (F.col("key") == F.col("fp")) & (F.col("own") == F.col("span")))
-            parts.append(hits.select("doc_id", "tid", "p", F.lit(n).alias("n"), F.lit(None).cast("int").alias("n_words"), "win_items"))
-    hits = parts[0]
-    for x in parts[1:]:
-        hits = hits.unionByName(x)
-    before = Window.partitionBy("doc_id", "tid").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.when(F.col("p") >= 0, F.col("p") + F.col("n"))
-    hits = hits.withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0)))
-    fresh = F.greatest(F.lit(0), end - F.greatest(F.col("p"), F.col("covered")))
+                parts.append(marks.select("doc_id", "tid", F.lit(-1).alias("start"), F.lit(None).cast("int").alias("end"), F.col("size").alias("n_words"), F.lit(None).cast("array<string>").alias("win_items")))
+    hits = reduce(DataFrame.unionByName, parts)
+    before = Window.partitionBy("doc_id", "tid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.col("covered")))
     found = hits.groupBy("doc_id", "tid").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.coalesce(F.sum(fresh), F.lit(0)).cast("long").alias("n_hit"),
@@ -106,8 +139,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
 
     Rows with equal doc_id, null or not, stand or fall together if one of them is contaminated.
     """
-    bad = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    name = free_name(docs.columns, "bad_id")
+    bad = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def result(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

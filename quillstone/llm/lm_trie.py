@@ -587,7 +587,7 @@ def _trigrams_level(meta: Meta):
 def _every_shard(spark: SparkSession, rows: DataFrame, shards: int) -> DataFrame:
     """rows and one empty row a shard, so that every shard gets its file."""
     empty = spark.range(shards).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
-    return rows.unionByName(empty)
+    return rows.unionByName(empty).repartition(shards, "bucket")  # a task's share stays that of a shard as the corpus grows
 
 
 def _sums(sizes: list[int]) -> list[int]:
