@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import Pseudonyms
 from ..functions.text import normalize
+from ..sources.shared import stored
 from .relations import AMBIGUOUS, COLLISION, EXACT, PROJECTION, SERIES, STANDALONE
 
 LINKS = (EXACT, PROJECTION, SERIES)
@@ -16,12 +17,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -
     """doc_id, group_id (smallest doc_id of the component).  nodes(doc_id), edges(left, right).
 
     Each round takes the smallest label of the neighbours and then the label of that label, so that long chains halve;
-    ``checkpoint()`` cuts the lineage where a checkpoint folder is set.
+    each round is written to the shared folder.
     """
-    spark = nodes.sparkSession
     both = edges.select("left", "right").union(edges.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct()
     both = both.select(F.col("left").alias("a"), F.col("right").alias("b"))
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
+    cut = stored
     state = cut(nodes.select("doc_id", F.col("doc_id").alias("label")))
     both = cut(both)
     for _ in range(rounds):

@@ -108,13 +108,15 @@ def infer_relations(ledger: DataFrame, documents: DataFrame, within: list[str] |
     """left, right, relation, confidence, shared_accounts, conflicts, coverage: one row for each related pair.
 
     A document with a code collision is ambiguous against every other one.  ``expand_collisions`` forms those pairs
-    with documents that it shares no account with, too (their number is collisions times documents).
+    with documents (of the same ``within``) that it shares no account with, too.
     """
     stats = pair_statistics(ledger, documents, within)
     bad = normalization_collisions(ledger).select("doc_id").distinct()
     if expand_collisions:
-        ids = documents.select("doc_id")
-        wide = bad.select(F.col("doc_id").alias("c")).join(ids, F.col("c") != F.col("doc_id")).select(F.least("c", "doc_id").alias("left"), F.greatest("c", "doc_id").alias("right")).distinct()
+        ids = documents.select("doc_id", *[F.col(c).alias(f"of_{c}") for c in within or []])
+        of = bad.join(documents, "doc_id").select(F.col("doc_id").alias("c"), *(within or []))
+        on = [F.col(c) == F.col(f"of_{c}") for c in within or []] + [F.col("c") != F.col("doc_id")]
+        wide = of.join(ids, on).select(F.least("c", "doc_id").alias("left"), F.greatest("c", "doc_id").alias("right")).distinct()
         stats = wide.join(stats, ["left", "right"], "full")
     mark = lambda side: bad.select(F.col("doc_id").alias(side), F.lit(True).alias(f"{side}_bad"))
     stats = stats.join(mark("left"), "left", "left").join(mark("right"), "right", "left")

@@ -44,7 +44,7 @@ ledger AS (SELECT doc_id, entity, period, account_code, saldo_inicial, debe, hab
 
 _FIXTURE = _LEDGER + r""",
 lo AS (SELECT min(year(l_shipdate) * 12 + month(l_shipdate) - 1) AS first FROM lineitem),
-fx AS (SELECT ledger.*, row_number() OVER (PARTITION BY doc_id ORDER BY account_code) - 1 AS line_ord, first FROM ledger, lo WHERE period < first + 6),
+fx AS (SELECT ledger.*, row_number() OVER (PARTITION BY doc_id ORDER BY account_code) - 1 AS line_ord, first FROM ledger, lo),
 fk AS (SELECT *, unnest(CASE WHEN period = first THEN ['', 'x', 'z', 'p', 'a', 'c'] ELSE [''] END) AS kind FROM fx),
 fr AS (
   SELECT CASE WHEN kind = '' THEN doc_id ELSE doc_id || '-' || kind END AS doc_id, entity, period, kind, line_ord,
@@ -83,7 +83,12 @@ rel AS (
          CASE rule WHEN 'collision' THEN 1.0 WHEN 'exact_equivalent' THEN 1.0 WHEN 'projection' THEN least(0.99, 0.80 + 0.19 * (shared / least(an, bn))) WHEN 'series' THEN least(0.99, 0.80 + 0.19 * (cont / shared)) ELSE least(0.89, shared / least(an, bn)) END AS confidence,
          shared AS shared_accounts,
          CASE rule WHEN 'collision' THEN 'ACCOUNT_NORMALIZATION_COLLISION' WHEN 'series' THEN '' WHEN 'ambiguous' THEN CASE WHEN lp <> rp THEN 'PERIOD_CONFLICT' ELSE 'CONTENT_MISMATCH' END ELSE CASE WHEN lp <> rp THEN 'PERIOD_CONFLICT' ELSE '' END END AS conflicts
-  FROM rl WHERE rule IS NOT NULL)"""
+  FROM rl WHERE rule IS NOT NULL
+  UNION ALL
+  SELECT l, r, 'ambiguous', 1.0, 0, 'ACCOUNT_NORMALIZATION_COLLISION'
+  FROM (SELECT DISTINCT least(b.doc_id, d.doc_id) AS l, greatest(b.doc_id, d.doc_id) AS r
+        FROM (SELECT DISTINCT doc_id, entity FROM lines WHERE doc_id IN (SELECT doc_id FROM bad)) b JOIN (SELECT DISTINCT doc_id, entity FROM lines) d ON b.entity = d.entity AND b.doc_id <> d.doc_id) w
+  WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.l = w.l AND st.r = w.r))"""
 
 
 @query(f"WITH {_LEDGER} SELECT * FROM ledger")
@@ -112,7 +117,7 @@ def normalization_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = relation_fixture(spark, sf_dir)
-    out = relations.infer_relations(ledger, docs, expand_collisions=True)
+    out = relations.infer_relations(ledger, docs, within=["entity"], expand_collisions=True)
     return out.select("left", "right", "relation", F.round("confidence", 6).alias("confidence"), "shared_accounts", F.array_join("conflicts", ",").alias("conflicts"))
 
 
@@ -162,7 +167,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM grp LEFT JOIN rel ON relation <> 'ambiguous' AND rel."left" = grp.doc_id GROUP BY group_id""")
 def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = relation_fixture(spark, sf_dir)
-    rel = relations.infer_relations(ledger, docs, expand_collisions=True)
+    rel = relations.infer_relations(ledger, docs, within=["entity"], expand_collisions=True)
     edges = rel.where(F.col("relation").isin(*groups.LINKS)).select("left", "right")
     members = groups.connected_components(docs.select("doc_id"), edges)
     return groups.group_summary(members, rel).select("group_id", "n_documents", "relation", F.round("confidence", 6).alias("confidence"))
@@ -528,7 +533,7 @@ def retry_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_GROUPS} SELECT group_id, count(*) AS n_files, min(grp.doc_id) AS first_file FROM grp WHERE group_id IN (SELECT g.group_id FROM grp g JOIN rel ON relation <> 'ambiguous' AND rel."left" = g.doc_id) GROUP BY group_id""")
 def manifest_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = relation_fixture(spark, sf_dir)
-    rel = relations.infer_relations(ledger, docs, expand_collisions=True)
+    rel = relations.infer_relations(ledger, docs, within=["entity"], expand_collisions=True)
     members = groups.connected_components(docs.select("doc_id"), rel.where(F.col("relation").isin(*groups.LINKS)).select("left", "right"))
     kind = groups.group_summary(members, rel).select("group_id", "relation")
     rows = members.join(kind, "group_id").join(docs.select("doc_id", (F.col("year") * 12 + F.col("month")).alias("period")), "doc_id")

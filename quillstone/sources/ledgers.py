@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,6 +68,7 @@ def relation_fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     )
     twice = rows.where((F.col("kind") == "c") & (F.col("line_ord") == 0)).withColumn("account_code", F.translate("account_code", ".", "-")).withColumn("line_ord", F.lit(1000))
     rows = rows.unionByName(twice)
+    rows = stored(rows)
     docs = rows.select("doc_id", "entity", "period").distinct()
     docs = docs.select(
         "doc_id", F.concat(F.lit("AAA010101"), F.lpad(F.col("entity").cast("string"), 3, "0")).alias("owner_rfc"), F.concat(F.lit("Empresa "), F.col("entity").cast("string")).alias("owner_name"),
