@@ -35,7 +35,7 @@ def discover(spark: SparkSession, path: str, pseudo: Pseudonyms, auto_resolve: b
     broken = ledger.where("line_error is not null").select(F.col("doc_id").alias("path")).distinct().withColumn("bad", F.lit("XML_AMOUNT_INVALID"))
     docs = found.join(broken, "path", "left").select(
         F.col("path").alias("doc_id"), "owner_rfc", none.alias("owner_name"), none.alias("owner_address"), none.alias("owner_certificate"), "year", "month",
-        F.lit(None).cast("date").alias("print_date"), "is_signed", F.coalesce("error_code", "bad").alias("error_code"), "text",
+        F.lit(None).cast("date").alias("print_date"), "is_signed", "modified", F.coalesce("error_code", "bad").alias("error_code"), "text",
     )
     good = docs.where("error_code is null")
     ledger = ledger.join(good.select("doc_id"), "doc_id", "left_semi")
@@ -48,8 +48,8 @@ def discover(spark: SparkSession, path: str, pseudo: Pseudonyms, auto_resolve: b
     return Discovery(docs, ledger, rel, members, G.group_summary(members, rel))
 
 
-def group_plans(d: Discovery, pseudo: Pseudonyms, strict: bool = True) -> DataFrame:
-    """One row a group: entity key, synthetic owner, month offset, error_code (conflicts, signatures, tax ids)."""
+def group_plans(d: Discovery, pseudo: Pseudonyms, strict: bool = True, strip_signature: bool = False) -> DataFrame:
+    """One row a group: entity key, synthetic owner, month offset, error_code (conflicts, signatures that are to stay, tax ids)."""
     members = d.groups.join(d.documents, "doc_id").withColumn("is_source", F.lit(False))
     keys = G.entity_key(members.select("group_id", "entity_id", "is_source", "owner_rfc", "owner_name"))
     facts = members.groupBy("group_id").agg(
@@ -57,7 +57,7 @@ def group_plans(d: Discovery, pseudo: Pseudonyms, strict: bool = True) -> DataFr
     ).join(d.summary, "group_id").join(keys, "group_id")
     facts = facts.withColumns({"source_rfc_length": F.lit(None).cast("int"), "has_source": F.lit(False)})
     blocked = G.blocking_conflicts(F.col("conflicts"), F.col("entity_id").isNotNull(), F.col("entity_id"), F.lit(None).cast("string"), strict)
-    state = facts.select("group_id", F.when(F.size(blocked) > 0, F.get(blocked, F.lit(0))).when(F.col("signed"), "XML_SIGNED").alias("blocked"))
+    state = facts.select("group_id", F.when(F.size(blocked) > 0, F.get(blocked, F.lit(0))).when(F.col("signed") & F.lit(not strip_signature), "XML_SIGNED").alias("blocked"))
     return G.plans(facts, pseudo).join(state, "group_id").withColumn("error_code", F.coalesce("error_code", "blocked")).drop("blocked")
 
 
@@ -68,8 +68,11 @@ def rewritten(d: Discovery, plans: DataFrame, pseudo: Pseudonyms) -> DataFrame:
     y, m = pseudo.exercise_and_period(F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"), F.col("entity_key"))
     text = xml.with_attribute(F.col("text"), "RFC", F.col("rfc"))
     text = xml.with_attribute(xml.with_attribute(text, "Anio", y), "Mes", m)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.pmod(F.conv(F.substring(pseudo.token("date-fallback", F.col("modified"), 8), 1, 7), 16, 10).cast("int"), F.lit(20_000)))
+    text = xml.with_attribute(text, "FechaModBal", xml.shifted_day(F.col("modified"), lambda c: pseudo.shift_date(c, F.col("entity_key")), F.date_format(day, "yyyy-MM-dd")))
+    text = xml.without_signature(text)
     name = F.concat(F.lit("anonimizado_"), pseudo.token("output-file", F.col("doc_id"), 16), F.lit(".xml"))
-    leaked = F.col("owner_rfc").isNotNull() & text.contains(F.col("owner_rfc"))
+    leaked = (F.col("owner_rfc").isNotNull() & text.contains(F.col("owner_rfc"))) | (F.col("modified").isNotNull() & text.contains(F.concat(F.lit('FechaModBal="'), F.col("modified"), F.lit('"'))))
     return docs.select("doc_id", "group_id", name.alias("name"), text.alias("new_text"), F.when(leaked, "RESIDUAL_VALUE").alias("error_code"))
 
 

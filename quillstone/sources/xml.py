@@ -13,13 +13,21 @@ from ..functions.values import decimal_value
 
 MAX_BYTES, MAX_DEPTH = 50 << 20, 64
 ROOT = r"(?s)<(?:[\w.-]+:)?Balanza\b[^>]*>"
+DECLARED = r"^(\s*<\?xml[^>]*?encoding\s*=\s*[\"'])[^\"']*"
+ONE_BYTE = r"(?i)^\s*<\?xml[^>]*?encoding\s*=\s*[\"'](?:iso-8859-1|latin-?1|us-ascii)[\"']"
+SIGNATURE = ("Sello", "Certificado", "noCertificado")
+NOTICE = '<?balance-anonymizer status="anonymized-not-for-fiscal-submission"?>'
 _LINE = "_NumCta string, _SaldoIni string, _Debe string, _Haber string, _SaldoFin string"
 SCHEMA = f"_Version string, _RFC string, _Anio string, _Mes string, _TipoEnvio string, _FechaModBal string, _Sello string, _Certificado string, _noCertificado string, Ctas array<struct<{_LINE}>>"
 
 
 def gate(files: DataFrame) -> DataFrame:
     """files(path, length, content) with text and error_code (null: may be parsed)."""
-    text = F.when(F.col("length") <= MAX_BYTES, F.decode("content", "UTF-8"))
+    raw = F.col("content").cast("string")
+    # every byte string is valid in a one-byte encoding; the text that is written is UTF-8, and says so
+    one_byte = F.regexp_replace(F.decode("content", "ISO-8859-1"), DECLARED, "$1UTF-8")
+    is_one_byte = F.decode(F.substring(F.col("content"), 1, 200), "ISO-8859-1").rlike(ONE_BYTE)
+    text = F.when(F.col("length") <= MAX_BYTES, F.when(is_one_byte, one_byte).when(F.is_valid_utf8(raw), raw))
     out = files.withColumn("text", F.explode(F.array(text)))
     up = F.upper("text")
     depth = F.aggregate(
@@ -32,7 +40,8 @@ def gate(files: DataFrame) -> DataFrame:
     )
     root = F.regexp_extract("text", ROOT, 0)
     code = (
-        F.when(F.col("text").isNull(), "XML_TOO_LARGE")
+        F.when(F.col("length") > MAX_BYTES, "XML_TOO_LARGE")
+        .when(F.col("text").isNull(), "XML_ENCODING_UNSUPPORTED")
         .when(F.instr(up, "<!DOCTYPE") + F.instr(up, "<!ENTITY") > 0, "XML_UNSAFE")
         .when(root == "", "XML_ROOT_UNSUPPORTED")
         .when(~root.contains("xmlns"), "XML_NAMESPACE_MISSING")
@@ -54,7 +63,7 @@ def documents(files: DataFrame) -> DataFrame:
         "error_code", F.when(missing, "XML_ATTRIBUTES_MISSING"), F.when(year.isNull() | ~month.between(1, 12) | month.isNull(), "XML_PERIOD_INVALID"),
         F.when(F.coalesce(F.size("x.Ctas"), F.lit(0)) <= 0, "XML_LEDGER_EMPTY"),
     )
-    return out.select("path", "text", F.col("x._RFC").alias("owner_rfc"), year.alias("year"), month.alias("month"), F.col("x._Version").alias("version"), F.col("x._TipoEnvio").alias("send_type"), F.col("x._Sello").isNotNull().alias("is_signed"), F.col("x.Ctas").alias("lines"), code.alias("error_code"))
+    return out.select("path", "text", F.col("x._RFC").alias("owner_rfc"), year.alias("year"), month.alias("month"), F.col("x._Version").alias("version"), F.col("x._TipoEnvio").alias("send_type"), F.coalesce(*[F.col(f"x._{a}") for a in SIGNATURE]).isNotNull().alias("is_signed"), F.col("x._FechaModBal").alias("modified"), F.col("x.Ctas").alias("lines"), code.alias("error_code"))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -80,9 +89,29 @@ def with_attribute(text: Column, name: str, value: Column) -> Column:
     return F.when(value.isNull() | ~root.rlike(pattern), text).otherwise(changed)
 
 
+def without_signature(text: Column) -> Column:
+    """The signature attributes of the root element removed, and a notice before it that says so."""
+    root = F.regexp_extract(text, ROOT, 0)
+    at = F.call_function("instr", text, root)
+    bare = F.regexp_replace(root, rf"\s+(?:[\w.-]+:)?(?:{'|'.join(SIGNATURE)})\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
+    return F.when(bare == root, text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.lit(NOTICE), bare, F.substring(text, at + F.length(root), F.length(text))))
+
+
+def shifted_day(written: Column, moved: Column, drawn: Column) -> Column:
+    """An ISO or day-first date, with or without a time of day, as ``moved(date)`` in its own format; anything else becomes ``drawn``."""
+    iso, day_first = r"^(\d{4})-(\d{2})-(\d{2})(T[\d:.+Z-]*)?$", r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
+    part = lambda pattern, i: F.regexp_extract(written, pattern, i)
+    a = moved(F.try_to_date(F.concat_ws("-", part(iso, 1), part(iso, 2), part(iso, 3)), "yyyy-MM-dd"))
+    b = moved(F.try_to_date(F.concat_ws("-", part(day_first, 4), F.lpad(part(day_first, 3), 2, "0"), F.lpad(part(day_first, 1), 2, "0")), "yyyy-MM-dd"))
+    sep = part(day_first, 2)
+    like_b = F.concat(F.date_format(b, "dd"), sep, F.date_format(b, "MM"), sep, F.date_format(b, "yyyy"))
+    return F.when(written.rlike(iso) & a.isNotNull(), F.concat(F.date_format(a, "yyyy-MM-dd"), part(iso, 4))).when(written.rlike(day_first) & b.isNotNull(), like_b).when(written.isNotNull(), drawn)
+
+
 def rewritten(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with new_text, the owner and period of ``plan`` (path, new_rfc, new_year, new_month) in place of their own."""
+    """docs with new_text, the owner and period of ``plan`` (path, new_rfc, new_year, new_month, optionally new_modified) in place of their own."""
     out = docs.join(plan, "path")
     text = with_attribute(F.col("text"), "RFC", F.col("new_rfc"))
     text = with_attribute(text, "Anio", F.col("new_year").cast("string"))
-    return out.withColumn("new_text", with_attribute(text, "Mes", F.lpad(F.col("new_month").cast("string"), 2, "0")))
+    text = with_attribute(text, "Mes", F.lpad(F.col("new_month").cast("string"), 2, "0"))
+    return out.withColumn("new_text", with_attribute(text, "FechaModBal", F.col("new_modified")) if "new_modified" in plan.columns else text)
