@@ -75,3 +75,10 @@ def format_date_like(template: Column, value: Column) -> Column:
     )
     at = F.call_function("instr", template, match)
     return F.when(match != "", F.concat(F.substring(template, F.lit(1), at - 1), made, F.substring(template, at + F.length(match), F.length(template))))
+
+
+def shifted_period(shift, start: Column, year: Column, month: Column) -> tuple[Column, Column, Column]:
+    """(start, year, month) moved by ``shift``; year and month follow the start, or, without one, the middle of their month."""
+    moved = shift(start)
+    base = F.coalesce(moved, shift(F.make_date(year, month, F.lit(15))))
+    return moved, F.year(base), F.month(base)

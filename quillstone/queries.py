@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import descriptions, text, values
 from .functions.keyed import Pseudonyms, padded_keys
-from .operators import groups, layout, registry, relations, reports, validation
+from .operators import groups, layout, manifest, pages, registry, relations, reports, validation
 from .sources.ledgers import derived_ledger, relation_fixture, table
 
 #: A public seed for tests and benchmarks only.
@@ -540,6 +540,114 @@ def manifest_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.proposal(rows).select("group_id", F.size("files").cast("long").alias("n_files"), F.array_min("files").alias("first_file"))
 
 
+# --- manifests and pages -----------------------------------------------------------------------------------------
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents; every third is declared, and every ninth of these under a name that doesn't exist."""
+    o = table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderkey") % 27 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
+    return o.where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 50).alias("group_id"), name.alias("file")), o.select(F.col("o_orderkey").alias("doc_id"))
+
+
+_DECLARED = "mf AS (SELECT o_custkey % 50 AS group_id, CASE WHEN o_orderkey % 27 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS file FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@query(f"WITH {_DECLARED} SELECT group_id, file, CASE WHEN file NOT IN (SELECT o_orderkey FROM orders) THEN 'MANIFEST_FILE_MISSING' END AS error_code FROM mf")
+def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.joined(*_declared(spark, sf_dir))
+
+
+@query(f"WITH {_DECLARED} SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT file FROM mf)")
+def manifest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.unassigned(*_declared(spark, sf_dir))
+
+
+@query("""SELECT name, string_agg(DISTINCT rfc, ',' ORDER BY rfc) AS rfcs FROM (SELECT 'NATION ' || c_nationkey AS name, upper(c_mktsegment) AS rfc FROM customer WHERE c_custkey % 40 = c_nationkey)
+GROUP BY name HAVING count(DISTINCT rfc) > 1""")
+def names_with_several_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 40 = c_nationkey")
+    found = manifest.names_with_several_ids(c.select(F.concat(F.lit(" Nation  "), F.col("c_nationkey").cast("string")).alias("name"), F.lower("c_mktsegment").alias("rfc")))
+    return found.select("name", F.array_join("rfcs", ",").alias("rfcs"))
+
+
+@query(f"""WITH {_LEDGER} SELECT doc_id, sha256(string_agg(account_code || '|' || saldo_inicial || '|' || debe || '|' || haber || '|' || saldo_final, chr(10) ORDER BY account_code)) AS content FROM ledger GROUP BY doc_id""")
+def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("account_code"))
+    return manifest.content_keys(derived_ledger(spark, sf_dir).withColumn("line_ord", order))
+
+
+@query(r"""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 1 THEN 'SCHEMA_LOCATION_ODD_TOKEN_COUNT' WHEN 2 THEN 'SCHEMA_LOCATION_NAMESPACE_MISMATCH' END AS warning FROM nation""")
+def schema_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("n_nationkey") % 4
+    where = F.when(kind == 0, "urn:a  urn:a/b.xsd").when(kind == 1, "urn:a urn:a/b.xsd urn:c").when(kind == 2, "urn:z urn:q urn:a http://other")
+    return table(spark, sf_dir, "nation").select("n_nationkey", manifest.schema_warning(F.lit("urn:a"), where).alias("warning"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as words on three pages of a document for each nation; page 2 of every sixth document is empty."""
+    c = table(spark, sf_dir, "customer").where("not (c_custkey % 3 = 2 and c_nationkey % 6 = 0)")
+    x0, y0 = F.col("c_custkey") % 97, F.col("c_custkey") % 89
+    return c.select(
+        F.col("c_nationkey").alias("doc_id"), (F.col("c_custkey") % 3).alias("page"), "c_custkey", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"),
+        (x0 + F.when(F.col("c_nationkey") % 4 == 1, F.col("c_custkey") % 7).otherwise(3)).cast("double").alias("x1"), (y0 + 2).cast("double").alias("y1"),
+        F.col("c_name").alias("text"), F.col("c_mktsegment").alias("font"), F.col("c_acctbal").alias("size"),
+    )
+
+
+_WORDS = """wd AS (SELECT c_nationkey AS doc_id, c_custkey % 3 AS page, c_custkey, c_custkey % 97 AS x0, c_custkey % 89 AS y0,
+  c_custkey % 97 + CASE WHEN c_nationkey % 4 = 1 THEN c_custkey % 7 ELSE 3 END AS x1, c_custkey % 89 + 2 AS y1, c_name AS text, c_mktsegment AS font, c_acctbal AS size
+  FROM customer WHERE NOT (c_custkey % 3 = 2 AND c_nationkey % 6 = 0))"""
+
+
+@query(f"""WITH {_WORDS}, pg AS (SELECT n_nationkey AS doc_id, unnest([0, 1, 2]) AS page FROM nation)
+SELECT doc_id, CASE WHEN bool_or(n = 0) THEN 'PAGE_WITHOUT_WORDS' ELSE 'WORD_BOX_INVALID' END AS error_code FROM (
+  SELECT pg.doc_id, pg.page, count(wd.doc_id) AS n, count(*) FILTER (WHERE x1 <= x0 OR x1 > 99 OR y1 > 200) AS bad FROM pg LEFT JOIN wd USING (doc_id, page) GROUP BY ALL)
+GROUP BY doc_id HAVING bool_or(n = 0) OR bool_or(bad > 0)""")
+def word_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page_rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("page"), F.lit(99.0).alias("width"), F.lit(200.0).alias("height"))
+    return pages.word_problems(_words(spark, sf_dir), page_rows)
+
+
+@query(f"""WITH {_WORDS}, rg AS (SELECT n_nationkey AS doc_id, n_nationkey % 3 AS page, 10 AS x0, 10 AS y0, 60 AS x1, 50 AS y1 FROM nation)
+SELECT c_custkey FROM wd WHERE NOT EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = wd.doc_id AND rg.page = wd.page AND wd.x0 < rg.x1 + 1 AND wd.x1 > rg.x0 - 1 AND wd.y0 < rg.y1 + 1 AND wd.y1 > rg.y0 - 1)""")
+def words_outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = [F.lit(float(v)).alias(e) for v, e in zip((10, 10, 60, 50), pages.EDGES)]
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), (F.col("n_nationkey") % 3).alias("page"), *box)
+    return pages.outside(_words(spark, sf_dir), regions, 1.0).select("c_custkey")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n FROM wd WHERE (c_custkey % 100) / 100.0 < 0.9 AND page = 1 GROUP BY doc_id")
+def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.low_confidence(_words(spark, sf_dir).where("page = 1").withColumn("confidence", (F.col("c_custkey") % 100) / 100))
+
+
+@query(f"WITH {_WORDS} SELECT DISTINCT doc_id, page FROM wd WHERE text LIKE '%77%'")
+def header_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = F.concat_ws(" ", F.split(F.lower("text"), ""))
+    return pages.header_pages(_words(spark, sf_dir).withColumn("text", spaced), "7 7")
+
+
+@query(f"""WITH {_WORDS} SELECT doc_id, coalesce(median(size) FILTER (WHERE size > 0), 9) AS size, arg_max(font, (size, x1 - x0, font)) AS font FROM wd GROUP BY doc_id""")
+def text_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.style(_words(spark, sf_dir))
+
+
+@query(f"WITH {_DATES} SELECT o_orderkey, off * 30 AS days FROM d")
+def date_offset_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", (_pseudo(spark).month_offset(F.col("o_orderpriority")) * 30).alias("days"))
+
+
+@query(f"""WITH {_DATES}, t AS (SELECT s.*, CASE WHEN o_orderkey % 2 = 0 THEN shifted ELSE CAST(make_date(year(day), month(day), 15) + to_months(off) AS DATE) END AS base FROM s)
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN shifted END AS period_start, CAST(year(base) AS INT) AS year, CAST(month(base) AS INT) AS month FROM t""")
+def shifted_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date")
+    rows = o.select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, day).alias("period_start"), F.year(day).alias("year"), F.month(day).alias("month"))
+    start, year, month = values.shifted_period(lambda c: _pseudo(spark).shift_date(c, F.col("o_orderpriority")), F.col("period_start"), F.col("year"), F.col("month"))
+    return rows.select("o_orderkey", start.alias("period_start"), year.alias("year"), month.alias("month"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: relations between the derived ledgers."""
     return infer_relations(spark, sf_dir)
