@@ -66,11 +66,16 @@ def rewritten(d: Discovery, plans: DataFrame, pseudo: Pseudonyms) -> DataFrame:
     ready = plans.where("error_code is null").select("group_id", "entity_key", "rfc")
     docs = d.documents.where("error_code is null").join(d.groups.select("doc_id", "group_id"), "doc_id").join(ready, "group_id")
     y, m = pseudo.exercise_and_period(F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"), F.col("entity_key"))
-    text = xml.with_attribute(F.col("text"), "RFC", F.col("rfc"))
-    text = xml.with_attribute(xml.with_attribute(text, "Anio", y), "Mes", m)
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.pmod(F.conv(F.substring(pseudo.token("date-fallback", F.col("modified"), 8), 1, 7), 16, 10).cast("int"), F.lit(20_000)))
-    text = xml.with_attribute(text, "FechaModBal", xml.shifted_day(F.col("modified"), lambda c: pseudo.shift_date(c, F.col("entity_key")), F.date_format(day, "yyyy-MM-dd")))
-    text = xml.without_signature(text)
+    made = lambda df, name, c: df.select(*[x for x in df.columns if x != name], F.explode(F.array(c)).alias(name))  # noqa: E731  a generator: not folded into what uses it
+    docs = docs.withColumns({"new_year": y, "new_month": m, "offset": pseudo.month_offset(F.col("entity_key")), "drawn": F.date_format(day, "yyyy-MM-dd")})
+    moved = lambda c: F.when(c == F.last_day(c), F.last_day(F.add_months(c, F.col("offset")))).otherwise(F.add_months(c, F.col("offset")))
+    docs = made(docs, "new_modified", xml.shifted_day(F.col("modified"), moved, F.col("drawn")))
+    # a column a step: each step names its text several times
+    for attribute, value in (("RFC", "rfc"), ("Anio", "new_year"), ("Mes", "new_month"), ("FechaModBal", "new_modified")):
+        docs = made(docs, "text", xml.with_attribute(F.col("text"), attribute, F.col(value)))
+    docs = made(docs, "text", xml.without_signature(F.col("text")))
+    text = F.col("text")
     name = F.concat(F.lit("anonimizado_"), pseudo.token("output-file", F.col("doc_id"), 16), F.lit(".xml"))
     leaked = (F.col("owner_rfc").isNotNull() & text.contains(F.col("owner_rfc"))) | (F.col("modified").isNotNull() & text.contains(F.concat(F.lit('FechaModBal="'), F.col("modified"), F.lit('"'))))
     return docs.select("doc_id", "group_id", name.alias("name"), text.alias("new_text"), F.when(leaked, "RESIDUAL_VALUE").alias("error_code"))
