@@ -9,7 +9,8 @@ The merge table holds every split of a vocabulary entry into two entries: any tw
 together are an entry can merge, at that entry's rank.
 
 Bounds: pieces are taken from ``CHUNK`` characters of text at a time (a longer text alone), the cache of pieces
-a worker keeps is emptied at ``CACHE`` pieces, and a recursion holds at most ``BATCH`` bytes of pieces.  Pieces
+a worker keeps is emptied at ``CACHE`` pieces, a recursion starts from at most ``BATCH`` bytes of pieces (its statement
+holds the rows of all rounds), and ``DECODED`` bytes of ids are decoded at a time (a longer text's alone).  Pieces
 longer than ``LONG`` bytes would need as many rounds as they have merges; they are contracted by the same rule with a
 heap, outside the query.
 
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK, CACHE, BATCH, LONG = 2 << 20, 400_000, 1 << 20, 400
+CHUNK, CACHE, BATCH, DECODED, LONG = 1 << 19, 250_000, 1 << 17, 1 << 19, 400
 POSITION = (1 << 20) - 1
 
 #: A row's key ``k`` is its word's number and its position in the word, so that a token's right neighbour is the row of
@@ -164,7 +165,7 @@ class Codec:
         out, start = [b""] * len(ids), 0
         while start < len(ids):
             end, size = start, 0
-            while end < len(ids) and (end == start or size + len(ids[end]) <= 2 * CHUNK):
+            while end < len(ids) and (end == start or size + len(ids[end]) <= DECODED):
                 size += len(ids[end])
                 end += 1
             counts = np.array([len(x) // 4 for x in ids[start:end]])
