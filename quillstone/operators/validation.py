@@ -25,9 +25,14 @@ def multiset_difference(before: DataFrame, after: DataFrame, columns: list[str])
 
 
 def leakage(outputs: DataFrame, originals: DataFrame) -> DataFrame:
-    """doc_id, part, n_leaks: parts (doc_id, part, text) that still contain one of their document's originals."""
+    """doc_id, part, n_leaks: parts (doc_id, part, text) that still contain one of their document's originals.
+
+    The text stands beside each original, not in the lambda as an outer column: the optimizer takes such a column for the
+    lambda's own variable where their ids meet (the second column a session reads), and filters below the join without it.
+    """
     own = originals.where(F.length("original") > 0).groupBy("doc_id").agg(F.collect_set("original").alias("o"))
-    n = F.size(F.filter("o", lambda x: F.col("text").contains(x)))
+    beside = F.arrays_zip(F.col("o").alias("o"), F.array_repeat("text", F.size("o")).alias("t"))
+    n = F.size(F.filter(beside, lambda x: x["t"].contains(x["o"])))
     return outputs.join(own, "doc_id").select("doc_id", "part", n.alias("n_leaks")).where("n_leaks > 0")
 
 
