@@ -107,6 +107,18 @@ def near(rows: np.ndarray, cols: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return at_row[i[k]][real], j[real]
 
 
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of the component of each of n nodes, by the links a-b."""
+    label, before = np.arange(n), None
+    while before is None or not np.array_equal(label, before):
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+    return label
+
+
 def forest(fps: np.ndarray, radius: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as stars, of the links among fps: (member, smallest member found with it)."""
     out_u, out_v = [], []
@@ -120,13 +132,7 @@ def forest(fps: np.ndarray, radius: int, tile: int) -> tuple[np.ndarray, np.ndar
             if differ.any():
                 nodes, ends = np.unique(np.concatenate([u[differ], v[differ]]), return_inverse=True)
                 a, b = np.split(ends, 2)
-                label, before = np.arange(len(nodes)), None
-                while before is None or not np.array_equal(label, before):
-                    before = label.copy()
-                    low = np.minimum(label[a], label[b])
-                    np.minimum.at(label, a, low)
-                    np.minimum.at(label, b, low)
-                    label = label[label]
+                label = labels(len(nodes), a, b)
                 moved = label != np.arange(len(nodes))
                 out_u.append(nodes[moved])
                 out_v.append(nodes[label[moved]])
